@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.llm import mixing
+from cairn.llm import bpe, media, mixing
 
 QUERIES = {
+    "op6_byte_bpe": bpe.op6,
     "op7_mix_sources": mixing.op7,
+    "op8_media_columns": media.op8,
 }
 SQL = {
     "op7_mix_sources": mixing.OP7_SQL,
