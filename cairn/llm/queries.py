@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, media, mixing
+from cairn.llm import bpe, media, minhash, mixing
 
 QUERIES = {
     "op6_byte_bpe": bpe.op6,
     "op7_mix_sources": mixing.op7,
     "op8_media_columns": media.op8,
+    "op10_minhash_near_dedup": minhash.op10,
 }
 SQL = {
     "op7_mix_sources": mixing.OP7_SQL,
