@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, media, minhash, mixing
+from cairn.llm import bpe, media, minhash, mixing, substrings
 
 QUERIES = {
+    "op3_substring_dedup": substrings.op3,
     "op6_byte_bpe": bpe.op6,
     "op7_mix_sources": mixing.op7,
     "op8_media_columns": media.op8,
     "op10_minhash_near_dedup": minhash.op10,
 }
 SQL = {
+    "op3_substring_dedup": substrings.OP3_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
 }

@@ -48,7 +48,9 @@ class Scratch:
 
 
 def tasks_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
-    """Partitions of about bytes_each for df's estimated size, and no fewer than the session's shuffle partitions."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    """Partitions of about bytes_each of the tables that df reads, and no fewer than the session's
+    shuffle partitions. Tables of unknown size (RDDs) don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, int(str(size)) // bytes_each))
+    return max(least, min(200_000, sum(x for x in sizes if x < 1 << 60) // bytes_each))
