@@ -351,11 +351,11 @@ WITH split AS (
 ), repeated AS (
   SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY v ORDER BY doc_id, s) AS place FROM windows) WHERE place > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, s + o AS at FROM repeated, unnest(range(0, 20)) AS u(o)
+  SELECT DISTINCT doc_id, s + o AS p FROM repeated, unnest(range(0, 20)) AS u(o)
 ), words AS (
-  SELECT doc_id, at, w[at] AS word FROM split, unnest(range(1, len(w) + 1)) AS u(at)
+  SELECT doc_id, p, w[p] AS word FROM split, unnest(range(1, len(w) + 1)) AS u(p)
 ), kept AS (
-  SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)
