@@ -57,7 +57,8 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
 
     rows: doc_id, source, size and any others. Adds source_size, target and taken. Of a source's
     budget (the target, rounded) whole repeats take every row; the rest is cut off the source in key
-    order, the last row in part. Rows of one id take their turn by size.
+    order, the last row in part. Rows of one id take their turn by size, then by a hash of their
+    other columns.
     Empty rows and sources take 0; a null source is a source of its own; null ids sort together.
     The key is uniform, so equal ranges of it split even a source that holds most rows evenly."""
     spark = rows.sparkSession
@@ -68,7 +69,8 @@ def mix_sources(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     starts = totals.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
     targets = source_targets(totals.select("source", F.col("_size").alias("size")), weights, share, most).withColumnRenamed("source", "_t")
     starts = starts.join(targets, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    others = [F.xxhash64(*others)] if (others := [c for c in rows.columns if c not in ("doc_id", "source", "size")]) else []
+    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", *others).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")), "left")
     budget = F.floor(F.col("target") + 0.5)

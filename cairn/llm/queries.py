@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, media, minhash, mixing, substrings
+from cairn.llm import bpe, media, minhash, mixing, quality, substrings
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2,
     "op3_substring_dedup": substrings.op3,
     "op6_byte_bpe": bpe.op6,
     "op7_mix_sources": mixing.op7,
