@@ -1,8 +1,79 @@
-"""The pipeline over documents."""
+"""Documents to token ids: quality, near-duplicates, repeated passages, a mix of sources, BPE.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. Stages may be run one by one, with what each returns written and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cairn.llm import bpe, minhash, mixing, quality, substrings
+from cairn.llm.shared import Scratch
+
+#: Passages of this many words that appear earlier go.
+PASSAGE = 50
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose score is below quality.KEEP. The classifier learns from labelled documents of docs."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, "_quality").where(F.col("_quality") >= quality.KEEP).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group of near-duplicates, once; null ids stay."""
+    kept = minhash.near_duplicates(docs, 5, "0.8").where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"))
+    rows = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    once = rows.withColumn("_turn", turn).where("_turn = 1").select(*docs.columns)
+    return once.union(docs.where("doc_id is null"))
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages of PASSAGE words or more that appear earlier; n_chars follows the text."""
+    cut = substrings.remove_repeats(docs, PASSAGE)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: one row for each whole repeat, and one of the first
+    words of a document that its source's budget cuts. Documents without words go."""
+    rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))
+    rows = mixing.mix_sources(rows).where("taken > 0").select("_row.*", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = rows.withColumn("_part", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
+    left = F.least(F.col("_size"), F.col("_taken") - (F.col("_part") - 1) * F.col("_size"))
+    first_words = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, left.cast("int")), "")
+    text = F.when(left < F.col("_size"), first_words).otherwise(F.col("text"))
+    out = rows.withColumn("text", text)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and the hashes of the token ids and of the bytes decoded from them."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", keep_one_of_each),
+    ("substring dedup", cut_passages),
+    ("mixing sources", mix),
+    ("byte-level BPE", encode),
+]
+
+#: SQL can express neither the classifier nor the encoding; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.keep(stage(spark, docs, sf_dir), str(k))
+        if k:
+            scratch.drop(str(k - 1))
+    return STAGES[-1][1](spark, docs, sf_dir)
