@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, media, minhash, mixing, quality, substrings
+from cairn.llm import bpe, media, minhash, mixing, neighbours, quality, substrings
 
 QUERIES = {
     "op2_quality_classifier": quality.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6,
     "op7_mix_sources": mixing.op7,
     "op8_media_columns": media.op8,
+    "op9_nearest_neighbours": neighbours.op9,
     "op10_minhash_near_dedup": minhash.op10,
 }
 SQL = {
