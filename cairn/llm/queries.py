@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cairn.llm import bpe, media, minhash, mixing, neighbours, quality, substrings
+from cairn.llm import bpe, media, minhash, mixing, neighbours, pages, quality, substrings
 
 QUERIES = {
     "op2_quality_classifier": quality.op2,
     "op3_substring_dedup": substrings.op3,
+    "op4_host_boilerplate": pages.op4,
     "op6_byte_bpe": bpe.op6,
     "op7_mix_sources": mixing.op7,
     "op8_media_columns": media.op8,
