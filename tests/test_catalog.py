@@ -1,0 +1,334 @@
+import datetime as dt
+import random
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.errors import IndexKeyLimitExceeded, IndexNotFound, UncoveredConditions, UnsupportedIndexOperation
+from cairn.operators import Catalog, EqualityIndex, GraphIndex, Hook, MultiIndex, SortedIndex, View, many, path, simple
+from cairn.operators.catalog import search
+from cairn.operators.query import Compound, Query
+from cairn.operators.snapshot import content_hash
+from cairn.plans import plan as planner
+
+SCHEMA = "id int, name string, size int, day date, tags array<string>, place struct<city:string>, path string, events array<struct<country:struct<code:string>>>"
+ROWS = [
+    (1, "apple", 10, dt.date(2026, 1, 15), ["a", "b", "a"], ("Rome",), "deportes/futbol", [(("AR",),), (("AR",),)]),
+    (2, "apricot", 20, dt.date(2026, 2, 20), ["b"], ("Oslo",), "/deportes//tenis/", [(("AR",),), (("BR",),)]),
+    (3, "banana", 20, None, [], None, None, [(("BR",),), None, (None,)]),
+    (4, "blue%_\\berry", None, dt.date(2026, 3, 1), None, (None,), "", None),
+    (5, "", 30, dt.date(2026, 3, 1), [None, "c"], ("",), "musica", []),
+    (6, None, 50, dt.date(2026, 4, 1), ["é", "😀"], ("Rome",), "deportes", [(("CL",),)]),
+]
+GRAPH = GraphIndex("graph", [many("country", "events", lambda e: e["country"]["code"]), path("category", "path"), simple("size", "size")], [("country", "category"), ("size",), ("size", "country")])
+INDICES = [EqualityIndex("by-city", "place.city"), SortedIndex("by-name", "name"), SortedIndex("by-size", "size"), SortedIndex("by-day", "day"), MultiIndex("by-tag", "tags"), GRAPH]
+VIEWS = [View("brief", {"key": "id", "label": lambda: F.upper("name")})]
+
+
+@pytest.fixture(scope="module")
+def catalog(spark):
+    found = Catalog("fruit", data=spark.createDataFrame(ROWS, SCHEMA), indices=INDICES, views=VIEWS, order_by=["id"])
+    found.bootstrap(spark)
+    return found
+
+
+def ids(rows):
+    return sorted(r.id for r in rows.collect())
+
+
+@pytest.mark.parametrize(
+    "index,operator,values,want",
+    [
+        ("by-size", "equal_to", (20,), [2, 3]),
+        ("by-size", "equal_to", ("20",), []),
+        ("by-size", "between", (10, 20), [1, 2, 3]),
+        ("by-size", "greater_than", (20,), [5, 6]),
+        ("by-size", "greater_or_equal", (20,), [2, 3, 5, 6]),
+        ("by-size", "less_than", (20,), [1]),
+        ("by-size", "less_or_equal", (20,), [1, 2, 3]),
+        ("by-size", "contains", ("0",), [1, 2, 3, 5, 6]),
+        ("by-day", "between", (dt.date(2026, 2, 1), dt.date(2026, 3, 1)), [2, 4, 5]),
+        ("by-day", "contains", ("-03-",), [4, 5]),
+        ("by-name", "starts_with", ("ap",), [1, 2]),
+        ("by-name", "starts_with", ("",), []),
+        ("by-name", "ends_with", ("na",), [3]),
+        ("by-name", "ends_with", ("",), []),
+        ("by-name", "contains", ("an",), [3]),
+        ("by-name", "contains", ("%_\\",), [4]),
+        ("by-name", "equal_to", ("",), [5]),
+        ("by-city", "equal_to", ("Rome",), [1, 6]),
+        ("by-tag", "equal_to", ("a",), [1, 1]),
+        ("by-tag", "equal_to", ("b",), [1, 2]),
+        ("by-tag", "equal_to", ("😀",), [6]),
+        ("graph", "equal_to", (("AR", "deportes"),), [1, 2]),
+    ],
+)
+def test_predicates(catalog, index, operator, values, want):
+    assert ids(getattr(catalog.query(index), operator)(*values)) == want
+
+
+@pytest.mark.parametrize(
+    "index,operator,values,error",
+    [
+        ("none", "equal_to", (1,), IndexNotFound),
+        ("none", "between", (1, 2), UnsupportedIndexOperation),
+        ("by-city", "greater_than", ("a",), UnsupportedIndexOperation),
+        ("by-tag", "contains", ("a",), UnsupportedIndexOperation),
+        ("by-size", "starts_with", ("1",), UnsupportedIndexOperation),
+        ("by-size", "ends_with", ("1",), UnsupportedIndexOperation),
+        ("by-size", "between", (20, 10), ValueError),
+        ("by-size", "less_than", ("a",), ValueError),
+        ("by-size", "less_than", (True,), ValueError),
+        ("by-size", "equal_to", (None,), ValueError),
+    ],
+)
+def test_refusals(catalog, index, operator, values, error):
+    with pytest.raises(error):
+        getattr(catalog.query(index), operator)(*values)
+
+
+def test_empty_pattern_before_the_index(catalog):
+    assert catalog.query("none").contains("").count() == 0 == catalog.query("by-city").starts_with("").count()
+
+
+def test_search_views_and_order(catalog):
+    assert ids(catalog.search("by-city", "Rome")) == [1, 6] and catalog.search("none", "x").count() == 0
+    assert [tuple(r) for r in catalog.search("by-city", "Oslo", "brief").collect()] == [(2, "APRICOT")]
+    assert catalog.query("by-size").between(10, 20, view="brief").columns == ["key", "label"]
+    with pytest.raises(ValueError):
+        catalog.search("by-city", "Rome", "nothing")
+    assert [r.id for r in catalog.query("by-size").greater_than(10, ordered=True).collect()] == [2, 3, 5, 6]
+    assert [r.id for r in catalog.query("by-name").ends_with("e", ordered=True).collect()] == [1]
+    wanted = catalog.snapshot.data.sparkSession.createDataFrame([("a",), ("b",), (None,), ("b",)], "key string")
+    assert ids(catalog.snapshot.search_many("by-tag", wanted)) == [1, 2]
+    assert ids(catalog.snapshot.search_many("by-city", wanted.union(wanted.limit(0)).selectExpr("'Rome' as key"))) == [1, 6]
+
+
+def test_compound(catalog):
+    assert ids(catalog.compound().where("by-tag").equal_to("b").and_("by-size").between(10, 15).execute()) == [1]
+    assert ids(catalog.compound().and_("by-city").equal_to("Rome").and_("by-tag").equal_to("a").execute()) == [1]
+    assert ids(catalog.compound().where("graph").equal_to(("AR",)).and_("by-name").starts_with("ap").execute()) == [1, 2]
+    assert [r.key for r in catalog.compound().where("by-size").equal_to(50).execute("brief").collect()] == [6]
+    with pytest.raises(RuntimeError):
+        catalog.compound().where("by-tag").equal_to("b").where("by-size")
+    with pytest.raises(RuntimeError):
+        catalog.compound().execute()
+    with pytest.raises(IndexNotFound):
+        catalog.compound().where("none").between(1, 2).execute()
+
+
+@pytest.mark.parametrize("by_keys", [False, True])
+def test_graph_queries(catalog, by_keys):
+    go = lambda *fields: ids(build(catalog.graph_query(), fields).execute(by_keys=by_keys))
+
+    def build(query, fields):
+        for name, values in fields:
+            query = query.where(name).in_(values)
+        return query
+
+    assert go(("country", ["AR"])) == [1, 2]
+    assert go(("country", ["BR", "CL"])) == [2, 3, 6]
+    assert go(("category", ["deportes"]), ("country", ["AR", "CL"])) == [1, 2, 6]
+    assert go(("country", ["AR"]), ("category", ["deportes/futbol"])) == [1]
+    assert go(("size", [20, 50])) == [2, 3, 6]
+    assert go(("size", [20]), ("country", ["BR"])) == [2, 3]
+    assert go(("country", ["XX"])) == [] and go(("category", ["deportes"])) == [] and go() == []
+    with pytest.raises(UncoveredConditions, match="category"):
+        go(("size", [20]), ("category", ["deportes"]))
+
+
+def test_graph_refusals(catalog):
+    for call in (lambda q: q.eq(1), lambda q: q.where("country").eq(None), lambda q: q.where("country").in_([]), lambda q: q.where("")):
+        with pytest.raises((ValueError, RuntimeError)):
+            call(catalog.graph_query())
+    again = catalog.graph_query().where("country").eq("AR").and_("country").eq("CL")
+    assert ids(again.execute()) == [6]
+
+
+def test_plans(catalog):
+    plan = lambda **c: planner(c, [GRAPH])
+    assert plan(country=["AR"], category=["x"]).keys == (("AR", "x"),)
+    assert plan(country=["AR", "BR"], category=["x", "y"]).keys == (("AR", "x"), ("AR", "y"), ("BR", "x"), ("BR", "y"))
+    assert plan(country=["AR"]).fields == ("country",) and plan(nothing=["x"]) is None
+    assert plan(country=["AR"], size=[1]).fields == ("size", "country")
+    assert plan(country=["AR"], organizer=["x"]).uncovered == ("organizer",)
+
+
+def test_graph_postings(catalog):
+    found = {(r.id, tuple(r.key)) for r in catalog.snapshot.postings("graph").collect()}
+    assert {k for i, k in found if i == 1} == {("AR",), ("AR", "deportes"), ("AR", "deportes/futbol"), ("10",), ("10", "AR")}
+    assert {k for i, k in found if i == 4} == set() and {k for i, k in found if i == 3} == {("BR",), ("20",), ("20", "BR")}
+
+
+def test_definitions_are_checked(spark):
+    data = spark.range(1)
+    index = EqualityIndex("i", "id")
+    for wrong, error in [
+        (dict(name="", data=data, indices=[index]), ValueError),
+        (dict(name="x", indices=[index]), ValueError),
+        (dict(name="x", data=data), RuntimeError),
+        (dict(name="x", data=data, indices=[index, SortedIndex("i", "id")]), ValueError),
+        (dict(name="x", data=data, indices=[index], views=[View("v", {}), View("v", {})]), ValueError),
+        (dict(name="x", data=data, indices=[index], refresh_every=dt.timedelta(0)), ValueError),
+    ]:
+        with pytest.raises(error):
+            Catalog(**wrong)
+    for args, error in [(([], [("a",)]), RuntimeError), (([simple("a", "id")], []), RuntimeError), (([simple("a", "id")], [("b",)]), ValueError), (([simple("a", "id")] * 2, [("a",)]), ValueError), (([simple("a", "id")], [("a", "a")]), ValueError), (([simple("a", "id")], [()]), ValueError)]:
+        with pytest.raises(error):
+            GraphIndex("g", *args)
+    with pytest.raises(ValueError):
+        GraphIndex("g", [simple("a", "id")], [("a",)], 0)
+
+
+def test_key_limit_keeps_the_old_snapshot(spark):
+    graph = lambda n: GraphIndex("g", [many("c", "cs"), simple("i", "id")], [("c", "i")], n)
+    rows = spark.createDataFrame([(1, ["a", "b"])], "id int, cs array<string>")
+    with pytest.raises(IndexKeyLimitExceeded):
+        Catalog("x", data=rows, indices=[graph(3)]).bootstrap(spark)
+    found = Catalog("x", load=lambda s: rows, indices=[graph(4)])
+    before = found.bootstrap(spark)
+    with pytest.raises(IndexKeyLimitExceeded):
+        found.refresh(spark, spark.createDataFrame([(1, ["a", "b", "c"])], "id int, cs array<string>"))
+    assert found.snapshot is before and before.version == 1
+
+
+def test_hooks_in_order(spark):
+    ran = []
+
+    def hook(name, fail=False):
+        def run(rows):
+            ran.append((name, rows.count()))
+            if fail:
+                raise ArithmeticError
+            return rows.limit(1)
+
+        return run
+
+    data = spark.range(3)
+    Catalog("x", data=data, indices=[EqualityIndex("i", "id")], hooks=[Hook(hook("B"), 20), Hook(hook("A"), 10), hook("C"), hook("D")]).bootstrap(spark)
+    assert ran == [("A", 3), ("B", 1), ("C", 1), ("D", 1)]
+    failing = Catalog("x", data=data, indices=[EqualityIndex("i", "id")], hooks=[hook("E", True)])
+    with pytest.raises(ArithmeticError):
+        failing.bootstrap(spark)
+    assert failing.snapshot is None
+
+
+def test_refresh_and_pinned_queries(spark):
+    rows = [1]
+    found = Catalog("x", load=lambda s: s.createDataFrame([(i,) for i in rows], "id int"), indices=[EqualityIndex("i", "id")])
+    with pytest.raises(RuntimeError):
+        found.search("i", 1)
+    first = found.bootstrap(spark)
+    old = found.query("i")
+    rows[:] = [2, 3]
+    second = found.refresh(spark)
+    assert (first.version, second.version) == (1, 2) and first.hash != second.hash
+    assert old.equal_to(1).count() == 1 and found.search("i", 1).count() == 0 and found.search("i", 3).count() == 1
+    assert found.refresh(spark).hash == second.hash
+    with pytest.raises(RuntimeError):
+        Catalog("y", data=spark.range(1), indices=[EqualityIndex("i", "id")]).refresh(spark)
+    with pytest.raises(ValueError):
+        Catalog("z", load=lambda s: None, indices=[EqualityIndex("i", "id")]).bootstrap(spark)
+
+
+def test_readers_see_whole_snapshots(spark):
+    state = [0]
+    found = Catalog("x", load=lambda s: s.range(10).withColumn("v", F.lit(state[0])), indices=[EqualityIndex("i", "v")], hashed=False)
+    found.bootstrap(spark)
+    bad, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            s = found.snapshot
+            rows = s.data.groupBy("v").count().collect()
+            if len(rows) != 1 or rows[0]["count"] != 10 or rows[0].v != s.version - 1:
+                bad.append(rows)
+
+    readers = [threading.Thread(target=read) for _ in range(3)]
+    [r.start() for r in readers]
+    for k in range(1, 5):
+        state[0] = k
+        found.refresh(spark)
+    stop.set()
+    [r.join() for r in readers]
+    assert not bad and found.snapshot.version == 5
+
+
+def test_content_hash(spark):
+    rows = spark.createDataFrame([(i, f"t{i % 7}") for i in range(25_000)], "id int, t string")
+    h = lambda r, *order: content_hash(r, order)
+    assert h(rows, "id") == h(rows.repartition(9), "id") == h(rows.orderBy(F.desc("id")), "id")
+    assert h(rows, "id") != h(rows, "t") and h(rows, "id") != h(rows.where("id <> 9"), "id")
+    two = lambda *t: h(spark.createDataFrame([(x,) for x in t], "a string"))
+    assert two("ab", "cd") != two("a", "bcd") and two("a", "a") != two("a")
+    empty = spark.createDataFrame([], "a string")
+    assert h(empty) == h(empty) == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_index_info(catalog, spark):
+    info = {r.name: r for r in catalog.snapshot.index_info().collect()}
+    assert (info["by-size"].unique_keys, info["by-size"].total_entries) == (5, 6)  # a null key counts, though no query finds it
+    assert (info["by-city"].unique_keys, info["by-city"].total_entries) == (3, 4)
+    assert (info["by-tag"].unique_keys, info["by-tag"].total_entries) == (5, 7)
+    words = spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("delta",)], "w string")
+    found = Catalog("w", data=words, indices=[EqualityIndex("length", F.length("w")), EqualityIndex("first", F.substring("w", 1, 1))])
+    found.bootstrap(spark)
+    assert [tuple(r)[1:] for r in found.snapshot.index_info().collect()] == [(2, 4, 48 + 8 * 16 + 2 * 72 + 2 * 16 + 4 * 8), (4, 4, 48 + 8 * 16 + 4 * 72 + 4 * 41 + 4 * 8)]
+    about = found.info()
+    assert about["item_count"] == 4 and about["estimated_size_bytes"] == sum(i["estimated_size_bytes"] for i in about["indices"])
+
+
+def test_filters_reach_the_scan(spark):
+    found = Catalog("part", load=lambda s: s.read.parquet("/root/testdata/sf0.001/part.parquet"), indices=[SortedIndex("by-name", "p_name"), SortedIndex("by-size", "p_size")])
+    lazy = found.lazy(found._load(spark))
+    plan = Compound(lazy).where("by-name").starts_with("co").and_("by-size").between(3, 9).execute().select("p_partkey")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(p_name,co)" in plan and "GreaterThanOrEqual(p_size,3)" in plan and "ReadSchema: struct<p_partkey:bigint,p_name:string,p_size:int>" in plan
+
+
+class Model:
+    """A catalog as a list, for random queries."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def find(self, field, operator, *v):
+        keys = {"by-name": 1, "by-size": 2, "by-day": 3}
+        out = []
+        for r in self.rows:
+            k = r[keys[field]]
+            if k is None:
+                continue
+            text = str(k)
+            hit = {
+                "equal_to": lambda: k == v[0], "between": lambda: v[0] <= k <= v[1], "greater_than": lambda: k > v[0], "greater_or_equal": lambda: k >= v[0],
+                "less_than": lambda: k < v[0], "less_or_equal": lambda: k <= v[0], "starts_with": lambda: v[0] != "" and k.startswith(v[0]),
+                "ends_with": lambda: v[0] != "" and k.endswith(v[0]), "contains": lambda: v[0] != "" and v[0] in text,
+            }[operator]()
+            if hit:
+                out.append(r[0])
+        return set(out)
+
+
+def test_random_queries_against_a_list(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("ab%_") for _ in range(rnd.randrange(4)))
+    day = lambda: dt.date(2026, 1, 1) + dt.timedelta(days=rnd.randrange(40))
+    rows = [(i, rnd.choice([None, word()]), rnd.choice([None, rnd.randrange(30)]), rnd.choice([None, day()]), None, None, None, None) for i in range(200)]
+    found = Catalog("r", data=spark.createDataFrame(rows, SCHEMA), indices=INDICES, order_by=["id"])
+    snapshot, model = found.bootstrap(spark), Model(rows)
+    draw = {"by-name": word, "by-size": lambda: rnd.randrange(30), "by-day": day}
+    for _ in range(40):
+        parts = []
+        for index in rnd.sample(list(draw), rnd.randrange(1, 4)):
+            operator = rnd.choice(["equal_to", "between", "greater_than", "greater_or_equal", "less_than", "less_or_equal", "contains"] + ["starts_with", "ends_with"] * (index == "by-name"))
+            values = sorted([draw[index](), draw[index]()]) if operator == "between" else [word() if operator in ("starts_with", "ends_with") else str(rnd.randrange(4)) if operator == "contains" else draw[index]()]
+            parts.append((index, operator, values))
+        query = Compound(snapshot)
+        for index, operator, values in parts:
+            query = getattr(query.and_(index), operator)(*values)
+        want = set.intersection(*(model.find(i, o, *v) for i, o, v in parts))
+        assert set(ids(query.execute())) == want
+        index, operator, values = parts[0]
+        assert set(ids(getattr(Query(snapshot, index), operator)(*values))) == model.find(index, operator, *values)
+    assert search(snapshot, "none", 1).count() == 0
