@@ -105,7 +105,7 @@ def test_loaders(spark, tmp_path):
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     rows.write.format("jdbc").options(url=url, dbtable="items", **driver).save()
     assert loaders.jdbc(url, 'select "id", "name" from items', **driver)(spark).count() == 2
-    assert loaders.jdbc(url, "select * from items", ("id", 1, 2, 2), **driver)(spark).rdd.getNumPartitions() == 2
+    assert loaders.jdbc(url, "select * from items", ("id", 0, 10, 2), **driver)(spark).rdd.getNumPartitions() == 2
 
 
 def test_event_codec():
