@@ -244,10 +244,11 @@ def near_duplicates(documents: DataFrame, size: int = 5, threshold: str = "0.8",
     stars = scratch.keep(stars, "stars")
     clusters = components(stars, scratch, "clusters")
     clustered = clusters.union(clusters.select("b", "b").distinct()).toDF("rep", "cluster")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(clustered, F.col("doc_id") == F.col("rep")).select("rep", "cluster", "text")
+    # the same join at every size: links and ids grow with the input, so that none is broadcast
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(clustered.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "cluster", "text")
     texts = scratch.keep(texts.join(nodes.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "texts")
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    pairs = best.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("own")), "a").join(texts.select(F.col("rep").alias("b"), "text"), "b")
+    pairs = best.hint("merge").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("own")), "a").hint("merge").join(texts.select(F.col("rep").alias("b"), "text"), "b")
     first = pairs.select("a", "b", "own", "text").mapInArrow(_compare_pairs(size, num, den), "a bigint, b bigint")
     first = scratch.keep(first, "links-1")
     settled = components(first, scratch, "settled")
