@@ -266,7 +266,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int | None = None)
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "substrings")
     gram = gram or max(1, min(GRAM, window // 2))
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = PARTS_EACH * tasks_for(spark, documents, PART_BYTES * PARTS_EACH)
+    parts = tasks_for(spark, documents, PART_BYTES)
     packed = rows.mapInArrow(_anchored(window, gram, parts), _PACKED)
     runs_found = scratch.keep(_meet(packed, parts), "runs")
     open_runs = _lists(runs_found, False)
