@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairn.llm import bpe, media, minhash, mixing, neighbours, pages, quality, substrings, toolcalls, urls
+from cairn.llm.shared import shipped
 
 QUERIES = {
     "op1_tool_calls": toolcalls.op1,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_nearest_neighbours": neighbours.op9,
     "op10_minhash_near_dedup": minhash.op10,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 SQL = {
     "op3_substring_dedup": substrings.OP3_SQL,
     "op5_temporal_url_lists": urls.OP5_SQL,

@@ -3,12 +3,48 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once for each application, so that their Python
+    workers can import it wherever they start."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(root):
+        folder = tempfile.mkdtemp(prefix="cairn-")
+        atexit.register(shutil.rmtree, folder, True)
+        with zipfile.ZipFile(f"{folder}/cairn-modules.zip", "w", zipfile.ZIP_DEFLATED) as out:
+            for at, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        out.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", os.path.dirname(root)))
+        context.addPyFile(f"{folder}/cairn-modules.zip")
+    _shipped.add(context.applicationId)
+
+
+def shipped(query: Callable) -> Callable:
+    """query(spark, ..) with the modules sent first."""
+
+    @wraps(query)
+    def run(spark, *args):
+        ship(spark)
+        return query(spark, *args)
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="cairn-")
-        atexit.register(__import__("shutil").rmtree, _local_dir, True)
+        atexit.register(shutil.rmtree, _local_dir, True)
     return f"file://{_local_dir}"
 
 
