@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import bpe, minhash, mixing, quality, substrings
-from cairn.llm.shared import Scratch
+from cairn.llm.shared import Scratch, shipped
 
 #: Passages of this many words that appear earlier go.
 PASSAGE = 50
@@ -58,11 +58,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", keep_good),
-    ("MinHash near-dedup", keep_one_of_each),
-    ("substring dedup", cut_passages),
-    ("mixing sources", mix),
-    ("byte-level BPE", encode),
+    ("quality classifier", shipped(keep_good)),
+    ("MinHash near-dedup", shipped(keep_one_of_each)),
+    ("substring dedup", shipped(cut_passages)),
+    ("mixing sources", shipped(mix)),
+    ("byte-level BPE", shipped(encode)),
 ]
 
 #: SQL can express neither the classifier nor the encoding; tests hold the stages against plain versions.
