@@ -65,11 +65,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables of one run, written as Parquet to the shared folder. They cut lineage: what is read
-    again is not computed again, and it survives the loss of executors."""
+    again is not computed again, and it survives the loss of executors. They go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        files, at = self._at(self.path)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -78,9 +81,12 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, at = self._at(f"{self.path}/{name}")
+        files.delete(at, True)
+
+    def _at(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def tasks_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
