@@ -125,14 +125,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
         order = rnd.permutation(n)
         for i in range(0, n, BATCH):
             rows = order[i : i + BATCH]
-            bucket = np.concatenate([found[r][0] for r in rows])
-            share = np.concatenate([found[r][1] for r in rows])
-            sizes = np.array([len(found[r][0]) for r in rows])
-            document = np.repeat(np.arange(len(rows)), sizes)
-            hidden = np.zeros((len(rows), DIM))
-            full = np.flatnonzero(sizes)
-            if len(full):
-                hidden[full] = np.add.reduceat(vectors[bucket] * share[:, None], (np.cumsum(sizes) - sizes)[full])
+            hidden = np.stack([found[r][1] @ vectors[found[r][0]] for r in rows])
             logit = hidden @ layer.T + bias
             odds = np.exp(logit - logit.max(1, keepdims=True))
             error = odds / odds.sum(1, keepdims=True)
@@ -141,9 +134,9 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
             back = error @ layer
             layer -= step * error.T @ hidden
             bias -= 0.1 * step * error.sum(0) / len(rows)
-            by = np.argsort(bucket, kind="stable")
-            which, lead = np.unique(bucket[by], return_index=True)
-            vectors[which] -= np.add.reduceat((step * share[:, None] * back[document])[by], lead)
+            for r, change in zip(rows, step * back):
+                bucket, share = found[r]
+                vectors[bucket] -= np.outer(share, change)
             done += len(rows)
     side = layer[1] - layer[0]
     return Model(vectors @ side, float(bias[1] - bias[0]))
@@ -160,7 +153,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
     chosen = usable.select(key, F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
     # at most `sample` rows of two numbers
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    found = sorted(((r.doc_id, r._label, r.text or "") for r in rows.select("doc_id", "_label", "text").toLocalIterator()))
+    found = sorted(((r.doc_id, r._label, r.text or "") for r in rows.select("doc_id", "_label", "text").collect()))
     return train([t for _, _, t in found], [y for _, y, _ in found])
 
 
