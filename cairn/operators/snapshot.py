@@ -54,6 +54,11 @@ class Snapshot:
             return keyed if index.kind == "sorted" else keyed.where("key is not null")
         return self.data.withColumn("key", F.explode(index.keys()))
 
+    def grouped(self, name: str) -> DataFrame:
+        """An index as it is: each key with all its rows. For small catalogs, as a key's rows become one."""
+        rows = self.postings(name)
+        return rows.groupBy("key").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "key"))).alias("rows"))
+
     def index_info(self) -> DataFrame:
         """name, unique_keys, total_entries and estimated_size_bytes of each index. Sorted indices
         count null keys, which they hold but no query reaches."""

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
+import re
+import threading
+import urllib.request
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import timezone
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +19,7 @@ from pyspark.sql import functions as F
 from cairn.errors import CatalogError
 from cairn.streaming.events import EVENT, RefreshEvent, latest_per_catalog, parse_events
 
+log = logging.getLogger(__name__)
 Listener = Callable[[RefreshEvent], None]
 Malformed = Callable[[int], None]
 
@@ -125,6 +132,53 @@ class TableSync:
 
         return cls(spark, lambda: parse_events(spark.read.schema("value string").json(path)), write)
 
+    @classmethod
+    def jdbc(cls, spark: SparkSession, url: str, table: str = "catalog_sync", **properties: str) -> TableSync:
+        """A table of a database, made if it isn't there. A row is updated, else inserted, else, when
+        another node inserted it meanwhile, updated."""
+        if not re.fullmatch(r"\w+(\.\w+)?", table):
+            raise ValueError(f"{table!r} can't name a table")
+        jvm = spark.sparkContext._jvm
+
+        def run(statement: str, *values) -> int:
+            found = jvm.java.util.Properties()
+            for name, value in properties.items():
+                found.setProperty(name, value)
+            connection = jvm.java.sql.DriverManager.getConnection(url, found)
+            try:
+                prepared = connection.prepareStatement(statement)
+                for i, value in enumerate(values, 1):
+                    prepared.setObject(i, value)
+                prepared.execute()
+                return prepared.getUpdateCount()
+            finally:
+                connection.close()
+
+        def write(event: RefreshEvent) -> None:
+            when = event.timestamp.astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+            change = (event.source_node_id, event.version, event.hash, jvm.java.sql.Timestamp.valueOf(when), event.catalog_name)
+            update = f"UPDATE {table} SET source_node_id = ?, version = ?, hash = ?, updated_at = ? WHERE catalog_name = ?"
+            if run(update, *change):
+                return
+            try:
+                run(f"INSERT INTO {table} (source_node_id, version, hash, updated_at, catalog_name) VALUES (?, ?, ?, ?, ?)", *change)
+            except Exception:
+                if not run(update, *change):
+                    raise
+
+        def read() -> DataFrame:
+            rows = spark.read.format("jdbc").options(url=url, dbtable=table, **properties).load()
+            rows = rows.toDF(*(c.lower() for c in rows.columns))
+            return rows.select("catalog_name", "source_node_id", "version", "hash", F.col("updated_at").alias("timestamp"), F.lit(EVENT).alias("kind"))
+
+        if "driver" in properties:
+            jvm.java.lang.Class.forName(properties["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        try:
+            run(f"SELECT catalog_name FROM {table} WHERE 1 = 0")
+        except Exception:
+            run(f"CREATE TABLE {table} (catalog_name VARCHAR(255) NOT NULL PRIMARY KEY, source_node_id VARCHAR(255), version BIGINT, hash VARCHAR(255), updated_at TIMESTAMP)")
+        return cls(spark, read, write)
+
     def publish(self, event: RefreshEvent) -> None:
         if event.kind != EVENT:
             return
@@ -154,3 +208,77 @@ class TableSync:
 def changes(rows: DataFrame, seen: dict[str, str]) -> list[RefreshEvent]:
     """Events whose hash isn't the last one known of their catalog."""
     return [e for e in _events(latest_per_catalog(rows)) if e.kind == EVENT and seen.get(e.catalog_name) != e.hash]
+
+
+class HttpSync:
+    """Events posted as JSON to the other nodes, which pass them on as they arrive. A node that can't
+    be reached misses the event. Texts over 64 KiB are refused."""
+
+    MOST = 64 * 1024
+
+    def __init__(self, peers: Sequence[str], port: int = 0, path: str = "/refresh", timeout: float = 5):
+        self.peers, self.port, self.path, self.timeout, self.server = list(peers), port, path, timeout, None
+        self.lost = 0
+
+    @property
+    def running(self) -> bool:
+        return self.server is not None
+
+    def subscribe(self, listener: Listener, malformed: Malformed | None = None) -> None:
+        most = self.MOST
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):
+                size = int(self.headers.get("Content-Length") or 0)
+                if size > most:
+                    return self.answer(413)
+                try:
+                    event = RefreshEvent.from_json(self.rfile.read(size).decode())
+                except ValueError:
+                    if malformed:
+                        malformed(1)
+                    return self.answer(500)
+                try:
+                    listener(event)
+                except Exception:
+                    log.warning("an event wasn't taken", exc_info=True)
+                    return self.answer(500)
+                return self.answer(200)
+
+            def do_GET(self):
+                self.answer(405)
+
+            do_PUT = do_DELETE = do_HEAD = do_PATCH = do_GET
+
+            def answer(self, code: int) -> None:
+                self.send_response(code)
+                self.send_header("Content-Length", "0")
+                self.end_headers()
+
+            def log_message(self, *_):
+                """No line for each request."""
+
+        self.server = ThreadingHTTPServer(("", self.port), Handler)
+        self.port = self.server.server_address[1]
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def publish(self, event: RefreshEvent) -> None:
+        """Posts to all peers without waiting for them."""
+        if not self.running:
+            raise RuntimeError("this transport isn't running")
+        for peer in self.peers:
+            threading.Thread(target=self._post, args=(peer, event.to_json().encode()), daemon=True).start()
+
+    def _post(self, peer: str, body: bytes) -> None:
+        try:
+            request = urllib.request.Request(peer.rstrip("/") + self.path, body, {"Content-Type": "application/json"}, method="POST")
+            urllib.request.urlopen(request, timeout=self.timeout).close()
+        except OSError:
+            self.lost += 1
+            log.warning("%s wasn't reached", peer, exc_info=True)
+
+    def stop(self) -> None:
+        if self.server is not None:
+            self.server.shutdown()
+            self.server.server_close()
+            self.server = None

@@ -161,6 +161,11 @@ def test_graph_postings(catalog):
     assert {k for i, k in found if i == 4} == set() and {k for i, k in found if i == 3} == {("BR",), ("20",), ("20", "BR")}
 
 
+def test_grouped(catalog):
+    found = {r.key: sorted(x.id for x in r.rows) for r in catalog.snapshot.grouped("by-tag").collect()}
+    assert found == {"a": [1, 1], "b": [1, 2], "c": [5], "é": [6], "😀": [6]}
+
+
 def test_definitions_are_checked(spark):
     data = spark.range(1)
     index = EqualityIndex("i", "id")

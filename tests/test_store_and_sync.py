@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from cairn.errors import CatalogError, CatalogNotAvailable, SnapshotCorrupt
 from cairn.operators import Catalog, EqualityIndex
 from cairn.sources import SnapshotStore, from_json_rows, loaders, to_json_rows
-from cairn.streaming import EVENT, REQUEST, Counters, Engine, FileLease, FileSync, KafkaSync, RefreshEvent, RetryPolicy, TableSync, latest_per_catalog, parse_events
+from cairn.streaming import EVENT, REQUEST, Counters, Engine, FileLease, FileSync, HttpSync, KafkaSync, RefreshEvent, RetryPolicy, TableSync, latest_per_catalog, parse_events
 from cairn.streaming.engine import Dispatcher
 from cairn.streaming.metrics import Statsd
 
@@ -162,6 +162,50 @@ def test_table_sync(spark, tmp_path):
         TableSync(spark, lambda: None, lambda e: 1 / 0).publish(event())
 
 
+def test_jdbc_table(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/sync;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    one, two = (TableSync.jdbc(spark, url, driver=driver) for _ in range(2))
+    got = []
+    two.subscribe(got.append)
+    one.publish(event(hashed="1")), one.publish(event(kind=REQUEST)), one.publish(event("d", hashed="1")), one.publish(event(hashed="2", version=5))
+    assert two.poll() == 2 and {(e.catalog_name, e.hash, e.version) for e in got} == {("c", "2", 5), ("d", "1", 1)}
+    assert two.poll() == 0
+    with pytest.raises(ValueError):
+        TableSync.jdbc(spark, url, "x; drop table y")
+
+
+def test_http_sync():
+    import http.client
+    import time
+
+    got, bad = [], []
+    one, two = HttpSync([]), HttpSync([])
+    with pytest.raises(RuntimeError):
+        one.publish(event())
+    one.subscribe(lambda e: None), two.subscribe(lambda e: got.append(e) if e.catalog_name != "odd" else 1 / 0, bad.append)
+    one.peers = [f"http://127.0.0.1:{two.port}", "http://127.0.0.1:1"]
+    one.publish(event())
+    for _ in range(100):
+        if got and one.lost:
+            break
+        time.sleep(0.05)
+    assert got == [event()] and one.lost == 1
+
+    def status(method, body):
+        connection = http.client.HTTPConnection("127.0.0.1", two.port, timeout=5)
+        connection.request(method, "/refresh", body)
+        return connection.getresponse().status
+
+    assert [status("GET", None), status("POST", "x"), status("POST", event("odd").to_json())] == [405, 500, 500] and bad == [1]
+    connection = http.client.HTTPConnection("127.0.0.1", two.port, timeout=5)
+    connection.putrequest("POST", "/refresh")
+    connection.putheader("Content-Length", str(HttpSync.MOST + 1))
+    connection.endheaders()
+    assert connection.getresponse().status == 413
+    one.stop(), two.stop()
+    assert not two.running
+
+
 def test_kafka_options(spark):
     sync = KafkaSync(spark, "h:9092", "t", "/tmp/none", **{"kafka.security.protocol": "SSL"})
     assert sync.read_options() == {"kafka.bootstrap.servers": "h:9092", "kafka.security.protocol": "SSL", "subscribe": "t", "startingOffsets": "latest", "failOnDataLoss": "false"}
