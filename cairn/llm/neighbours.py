@@ -76,6 +76,17 @@ def balanced_parts(near: np.ndarray, parts: int, seed: int = SEED, sweeps: int =
     return part
 
 
+def closest(rows: np.ndarray, k: int) -> np.ndarray:
+    """The k other rows of largest inner product with each, in blocks, since all products would not
+    fit beside the driver's other work."""
+    out = np.empty((len(rows), k), np.int64)
+    for i in range(0, len(rows), 256):
+        products = -(rows[i : i + 256] @ rows.T)
+        products[np.arange(len(products)), i + np.arange(len(products))] = np.inf
+        out[i : i + 256] = np.argpartition(products, k - 1, axis=1)[:, :k]
+    return out
+
+
 class Router:
     """The classifier, and how many parts to try."""
 
@@ -85,15 +96,11 @@ class Router:
         if parts < 2 or len(sample) <= k:
             self.parts = self.probes = 1
             return
-        scores = sample @ sample.T
-        np.fill_diagonal(scores, -np.inf)
         rows = self._rows(sample)
-        ties = rows @ rows.T
-        np.fill_diagonal(ties, -np.inf)
-        label = balanced_parts(np.argpartition(-ties, NEAR, axis=1)[:, :NEAR], parts)
+        label = balanced_parts(closest(rows, NEAR), parts)
         self._learn(rows, label)
         own, tried = self.order(rows, 1)[:, 0], self.order(self._rows(sample, query=True), parts)
-        near = np.argpartition(-scores, k, axis=1)[:, :k]
+        near = closest(sample, k)
         place = np.argsort(tried, axis=1)
         needed = np.take_along_axis(place, own[near], 1)
         share = np.bincount(needed.ravel(), minlength=parts).cumsum() / needed.size
