@@ -108,7 +108,7 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         features, times = np.concatenate((features, BUCKETS + np.arange(PAIRS))), np.concatenate((times, pairs[0]))
         bucket, inverse = np.unique(features, return_inverse=True)
         share = np.bincount(inverse, times, minlength=len(bucket)) / max(1, times.sum())
-        out.append((bucket, share))
+        out.append((bucket.astype(np.int32), share.astype(np.float32)))
     return out
 
 
@@ -153,8 +153,15 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample:
     chosen = usable.select(key, F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
     # at most `sample` rows of two numbers
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    found = sorted(((r.doc_id, r._label, r.text or "") for r in rows.select("doc_id", "_label", "text").collect()))
-    return train([t for _, _, t in found], [y for _, y, _ in found])
+    # at most `sample` texts, which meet in one task and never on the driver
+    learnt = rows.select("doc_id", "_label", "text").repartition(1).mapInArrow(_learn, "weight binary, bias double").first()
+    return Model(np.frombuffer(learnt.weight, np.float64), learnt.bias) if learnt else train([], [])
+
+
+def _learn(batches):
+    rows = sorted((i, y, t or "") for batch in batches for i, y, t in zip(*(c.to_pylist() for c in batch.columns)))
+    model = train([t for _, _, t in rows], [y for _, y, _ in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
 
 
 def score(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
