@@ -8,16 +8,20 @@ they say; on a page that names no main part they are its text but for boilerplat
 
 That boilerplate is found with a suffix array of the host: the outside token streams of its pages,
 marks between blocks included, are put one after the other and their suffixes ranked by prefix
-doubling up to RUN tokens. Stretches of RUN or more tokens that occur on several pages are covered;
-the uncovered, unique runs stay. A host beyond CHUNK tokens is dealt into chunks by page. Each chunk
+doubling up to RUN tokens. Stretches of RUN or more tokens that occur on several different pages are
+covered; the uncovered, unique runs stay. Pages without a main part that are copies of one another
+count as one page, whatever their ids and urls, so that copies don't cover each other: equal streams,
+and near copies as op10 finds them (ALIKE of their shingles of SHINGLE words in common, directly or by
+pages in between). A passage of RUN or more words that otherwise different pages share is covered,
+whether a menu or a quotation. A host beyond CHUNK tokens is dealt into chunks by page. Each chunk
 ranks its own suffixes, and only what it finds distinct goes on to be counted over all chunks, so
 the same stretches are covered as in one array.
 
 The array never decides inside a named main part: articles that are copied on a host repeat as a
 whole, and would all be lost.
 
-Null and empty pages have an empty text. A page is told from others by its id, url and html, so rows
-that repeat one are one page to the array and each has its text. Pages without a url have the host ''.
+Null and empty pages have an empty text. Rows whose streams are equal are one page to the array and
+each has its text. Pages without a url have the host ''.
 """
 
 from __future__ import annotations
@@ -30,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.minhash import near_duplicates
 from cairn.llm.shared import Scratch
 from cairn.llm.words import U, between, mix, slices, sums, utf8, words
 
 #: Tokens of the shortest stretch that counts as repeated; a power of two. Tokens of a chunk.
 RUN, CHUNK = 8, 1 << 20
+#: Words of a shingle, and least part of two pages' shingles in common that makes them near copies.
+SHINGLE, ALIKE = 5, "0.8"
 _DROP = frozenset("head title script style noscript template nav header footer aside form button select textarea iframe svg math canvas object embed video audio dialog menu map datalist".split())
 _MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar side menu navbar nav navigation breadcrumb breadcrumbs pagination pager header masthead footer foot comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login widget toolbar skip".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -174,13 +181,13 @@ def _streams(table: pa.Table):
 
 
 def _classes(run: int):
-    """The distinct stretches of a chunk, with the smallest and the largest page that has them."""
+    """The distinct stretches of a chunk, with the smallest and the largest group that has them."""
 
     def go(table: pa.Table) -> pa.Table:
         hashes, page, _ = _streams(table)
         start, rank = stretches(hashes, page, run)
-        keys, pages = np.array(table["key"]), None
-        own = keys[page[start]] if len(start) else np.zeros(0, np.int64)
+        groups = np.array(table["group"])
+        own = groups[page[start]] if len(start) else np.zeros(0, np.int64)
         order = np.lexsort((own, rank))
         rank, own, start = rank[order], own[order], start[order]
         lead = np.flatnonzero(np.diff(rank, prepend=-1))
@@ -197,9 +204,9 @@ def _mark(table: pa.Table, run: int, known: np.ndarray | None) -> pa.Table:
     None where the table has the host's pages all together."""
     hashes, page, first = _streams(table)
     start, rank = stretches(hashes, page, run)
-    keys = np.array(table["key"])
+    keys, groups = np.array(table["key"]), np.array(table["group"])
     if known is None:
-        own = keys[page[start]] if len(start) else np.zeros(0, np.int64)
+        own = groups[page[start]] if len(start) else np.zeros(0, np.int64)
         order = np.lexsort((own, rank))
         rank, own = rank[order], own[order]
         lead = np.flatnonzero(np.diff(rank, prepend=-1))
@@ -222,15 +229,15 @@ def _mark(table: pa.Table, run: int, known: np.ndarray | None) -> pa.Table:
 def covered_tokens(streams: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
     """key and covered (array<int>, places of tokens in the stream) of the pages with repeated stretches.
 
-    streams: key, host and outside, one row a page."""
-    pages = streams.dropDuplicates(["key"])
+    streams: key, host and outside, one row a page; group, if several pages are to count as one."""
+    pages = (streams if "group" in streams.columns else streams.withColumn("group", F.col("key"))).dropDuplicates(["key"])
     size = F.size(F.split("outside", " "))
-    hosts = pages.groupBy(F.col("host").alias("_host")).agg(F.ceil(F.sum(size) / chunk).cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1")
+    hosts = pages.groupBy(F.col("host").alias("_host")).agg(F.ceil(F.sum(size) / chunk).cast("int").alias("chunks"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
     dealt = pages.join(hosts, F.col("host") == F.col("_host")).withColumn("chunk", F.pmod("key", "chunks").cast("int"))
     mark_schema = "key bigint, covered array<int>"
-    small = dealt.where("chunks = 1").select("key", "host", "chunk", "outside")
+    small = dealt.where("chunks = 1").select("key", "group", "host", "chunk", "outside")
     found = small.groupBy("host").applyInArrow(lambda t: _mark(t, run, None), mark_schema)
-    large = dealt.where("chunks > 1").select("key", "host", "chunk", "outside")
+    large = dealt.where("chunks > 1").select("key", "group", "host", "chunk", "outside")
     classes = large.groupBy("host", "chunk").applyInArrow(_classes(run), "host string, chunk int, stretch bigint, low bigint, high bigint")
     several = classes.groupBy("host", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "stretch")
     known = classes.select("host", "chunk", "stretch").join(several, ["host", "stretch"])
@@ -239,8 +246,18 @@ def covered_tokens(streams: DataFrame, run: int = RUN, chunk: int = CHUNK) -> Da
     return found.union(marked)
 
 
+def different(streams: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, group, host and outside of the streams that aren't empty, once each. Copies without a main
+    part are one group; what stands beside a main part is never copied text, and a group of its own."""
+    once = streams.where("outside <> ''").dropDuplicates(["key"])
+    copies = scratch.keep(once.where("not settled").select(F.col("key").alias("doc_id"), F.col("outside").alias("text")), "unsettled")
+    groups = near_duplicates(copies, SHINGLE, ALIKE).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
+    found = once.join(groups, F.col("key") == F.col("_key"), "left")
+    return found.select("key", F.coalesce("_group", "key").alias("group"), "host", "outside")
+
+
 def _read(names: list[str], keep_main: bool):
-    """Rows of named main parts as (.., text), or all rows as (.., key, settled, outside)."""
+    """Rows of named main parts as (.., text), or all rows as (.., settled, outside)."""
 
     def run(batches):
         for batch in batches:
@@ -277,13 +294,13 @@ def main_text(pages: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame
     scratch = Scratch(pages.sparkSession, "pages")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = rows.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), "html")
-    others = ["page_id", "url", "host", "key"]
-    schema = "page_id bigint, url string, host string, key bigint"
-    streams = scratch.keep(keyed.mapInArrow(_read(others, False), f"{schema}, settled boolean, outside string"), "streams")
+    hosted = rows.select("page_id", "url", host.alias("host"), "html")
+    schema = "page_id bigint, url string, host string"
+    streams = hosted.mapInArrow(_read(["page_id", "url", "host"], False), f"{schema}, settled boolean, outside string")
+    streams = scratch.keep(streams.withColumn("key", F.xxhash64("host", "settled", "outside")), "streams")
     # pages without a named main part decide with their whole host; elsewhere the array has nothing to say
     settled = rows.mapInArrow(_read(["page_id", "url"], True), "page_id bigint, url string, text string")
-    covered = covered_tokens(streams.where("outside <> ''").select("key", "host", "outside"), run, chunk).withColumnRenamed("key", "_key")
+    covered = covered_tokens(scratch.keep(different(streams, scratch), "different"), run, chunk).withColumnRenamed("key", "_key")
     left = streams.where("not settled").join(covered, F.col("key") == F.col("_key"), "left")
     return settled.union(left.select("page_id", "url", "outside", "covered").mapInArrow(_unique_runs, "page_id bigint, url string, text string"))
 

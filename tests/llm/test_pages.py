@@ -87,6 +87,22 @@ def test_frame(spark):
     assert pages.main_text(frame.limit(0)).count() == 0
 
 
+def test_copies_without_a_main_part(spark):
+    """Copies under other ids and urls of a host, exact and near, keep their text and lose the menu."""
+    rnd = random.Random(3)
+    prose = lambda n: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
+    menu = "<ul><li>Home</li><li>News of the day</li><li>All about us</li><li>Contact and help</li></ul>"
+    exact, near, alone = prose(60), prose(200), prose(50)
+    bodies = [exact] * 5 + [f"{near} seen {k} times" for k in range(4)] + [alone]
+    rows = [(k, f"http://a.org/{k}", f"<div>{menu}<div>{b}</div></div>") for k, b in enumerate(bodies)]
+    few = {100: exact, 101: exact, 102: "other words"}  # one chunk; the host above is dealt into several
+    rows += [(k, f"http://b.org/{k}", f"{menu}<p>{b}</p>") for k, b in few.items()]
+    rows += [(200 + k, f"http://c.org/{k}", f"<p>{exact}</p>") for k in range(2)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = dict(enumerate(bodies)) | few | {200: exact, 201: exact}
+    assert {r.page_id: r.text for r in pages.main_text(frame, chunk=150).collect()} == want
+
+
 def test_query_against_patterns(spark):
     """The articles of the synthetic pages, taken by regular expressions."""
     import html
