@@ -27,6 +27,7 @@ each has its text. Pages without a url have the host ''.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -58,6 +59,8 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, str]] = []
+        #: Where the open elements of each name stand in open, innermost last.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.dropped, self.part = False, ""
         self.text: list[str] = []
         self.blocks: list[tuple[str, str]] = []
@@ -90,6 +93,7 @@ class _Page(HTMLParser):
             if named and part != "article":
                 part = named
                 self.named.add(named)
+        self.places[tag].append(len(self.open))
         self.open.append((tag, self.dropped, self.part))
         if dropped != self.dropped or part != self.part:
             self.flush()
@@ -98,21 +102,21 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _BLOCKS or tag in _DROP:
             self.flush()
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[i][0] == tag:
-                self._close(i)
-                return
+        if places := self.places.get(tag):
+            self._close(places[-1])
+
+    def _last(self, tags) -> int:
+        return max((places[-1] for tag in tags if (places := self.places.get(tag))), default=-1)
 
     def _end(self, tags, bounds):
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            if self.open[i][0] in tags:
-                self._close(i)
-                return
-            if self.open[i][0] in bounds:
-                return
+        i = self._last(tags)
+        if i >= 0 and i > self._last(bounds):
+            self._close(i)
 
     def _close(self, i: int) -> None:
         _, dropped, part = self.open[i]
+        for tag, _, _ in self.open[i:]:
+            self.places[tag].pop()
         del self.open[i:]
         if dropped != self.dropped or part != self.part:
             self.flush()

@@ -34,6 +34,15 @@ def test_deep_and_long():
     assert pages.parsed("<article>" + "<p>word</p>" * 50_000 + "</article>")[0] == ["word"] * 50_000
 
 
+@pytest.mark.parametrize("tag", ["a", "span", "font", "div", "li"])
+def test_end_tags_beyond_many_open_elements(tag):
+    many = f"<{tag}>" * 300
+    assert pages.parsed(f"<nav>{many}menu</nav><article>text</article>") == (["text"], ["menu"])
+    assert pages.parsed(f"<article>{many}text</article>after") == (["text"], ["after"])
+    assert pages.parsed(f"<div class='ad'>x</div><footer>{many}y</footer><p>text") == (None, ["text"])
+    assert pages.parsed(f"<p>one<ul><li>{'<b>' * 300}two<li>three</ul><p>four") == (None, ["one", "two", "three", "four"])
+
+
 def covered_by_loops(streams, run):
     """(host, page key) -> tokens; every stretch of run tokens compared with those of other pages."""
     seen = {}
