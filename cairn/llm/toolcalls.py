@@ -152,19 +152,19 @@ def linked_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 #: Tools of the query below, as schemas of their arguments.
 SCHEMAS = {
     "lookup": {"required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "additionalProperties": False},
-    "answer": {"required": ["words"], "properties": {"words": {"type": "integer"}, "tone": {"type": "string", "enum": ["plain", "warm"]}}},
+    "answer": {"required": ["words"], "properties": {"words": {"type": "integer"}, "tone": {"type": "string", "enum": ["plain", "warm"]}, "text": {"type": "string"}}},
 }
 
 
 def calls_of(conversations: DataFrame) -> DataFrame:
     """The synthetic chats hold no tool calls, so each user message is read as a call and the next
     turn's assistant message as its result. A call waits for that two turns before, so that chains
-    run through the chat, and what it asks follows from its text."""
+    run through the chat. Its arguments hold the whole text: a lookup's as query, others' as text."""
     text = F.coalesce("text", F.lit(""))
     name = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
     tool = F.when(F.char_length(text) % 7 == 0, "erase").when(F.col("turn") % 4 == 0, "lookup").otherwise("answer")
-    arguments = F.when(tool == "lookup", F.to_json(F.struct(F.char_length(text).alias("limit"), F.substring_index(text, ".", 1).alias("query")))).otherwise(
-        F.concat(F.lit('{ "words" : '), F.size(F.split(text, " ")).cast("string"), F.lit(', "tone": "'), F.when(F.char_length(text) % 2 == 0, "plain").otherwise("loud"), F.lit('"}'))
+    arguments = F.when(tool == "lookup", F.to_json(F.struct(F.char_length(text).alias("limit"), text.alias("query")))).otherwise(
+        F.concat(F.lit('{ "words" : '), F.size(F.split(text, " ")).cast("string"), F.lit(', "tone": "'), F.when(F.char_length(text) % 2 == 0, "plain").otherwise("loud"), F.lit('", '), F.substr(F.to_json(F.struct(text.alias("text"))), F.lit(2)))
     )
     call = F.col("role") == "user"
     return conversations.where(F.col("role").isin("user", "assistant")).select(

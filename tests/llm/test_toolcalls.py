@@ -94,6 +94,24 @@ def test_links(spark):
     assert tc.linked_calls(frame.limit(0), tc.SCHEMAS).count() == 0
 
 
+def test_query_arguments(spark):
+    """Every call's arguments hold its message's whole text."""
+    sf = "/root/testdata/sf0.01"
+    texts = {(r.conv_id, r.turn): r.text or "" for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    for r in tc.op1(spark, sf).where("turn is not null").collect():
+        call, text = json.loads(r.json), texts[r.conv_id, r.turn]
+        tone = "loud" if len(text) % 2 else "plain"
+        assert call["arguments"] == ({"query": text, "limit": len(text)} if call["tool"] == "lookup" else {"text": text, "words": len(text.split(" ")), "tone": tone})
+
+
+def test_query_arguments_of_any_text(spark):
+    rows = [(1, 0, "user", "a. b.\n\"c\" \\ \x00\x1f\u2028 é😀"), (2, 0, "user", "x. " * 400_000), (3, 0, "user", None), (4, 1, "user", "one. two.")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for r in tc.linked_calls(tc.calls_of(frame), tc.SCHEMAS).collect():
+        found = json.loads(r.json)["arguments"]
+        assert found.get("query", found.get("text")) == (rows[r.conv_id - 1][3] or "")
+
+
 def test_query(spark):
     """Every row of the query against the conversations, read in plain Python."""
     sf = "/root/testdata/sf0.01"
