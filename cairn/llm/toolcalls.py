@@ -12,13 +12,20 @@ Defined results: a call without a result is 'unanswered', a result without a cal
 call or result of an id 'repeated' (the first by turn, then by text, is the one linked), a result
 before its call 'early'. Ids in `after` that are null, unknown or the call's own are left out.
 Arguments that aren't a JSON object are 'not an object'; else the first fault in order of the
-schema's fields is named; tools without a schema are 'unknown tool'. Null conv_id and call_id are
+schema's fields is named, at any depth; tools without a schema are 'unknown tool'. Schemas are JSON
+Schema without conditions, patternProperties, prefixItems, contains and references to other files:
+_KEYWORDS are known, others raise an error. An integer is one that is written as such (not 1.0),
+choices and bounds of numbers go by value, patterns are Python's, formats aren't looked at. What is nested beyond Python's stack, some hundreds
+of levels, is 'nested too deeply', and not written if even its JSON is. Null conv_id and call_id are
 dropped from links, as nothing can name them. Numbers keep their spelling in canonical JSON.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from decimal import Decimal
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,6 +34,9 @@ from pyspark.sql import functions as F
 from cairn.llm.shared import Scratch
 
 _KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
+#: What schemas may say. The first line is what `fault` looks at, the second says nothing about a value.
+_KEYWORDS = frozenset("type enum const required properties additionalProperties minProperties maxProperties items minItems maxItems uniqueItems minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern $ref allOf anyOf oneOf not".split())
+_KEYWORDS |= frozenset("$schema $comment $defs definitions title description default examples deprecated readOnly writeOnly format".split())
 
 
 class _Number(str):
@@ -48,22 +58,170 @@ def _fits(value, kind: str) -> bool:
     return isinstance(value, _KINDS[kind]) and not isinstance(value, _Number)
 
 
-def fault(value: dict, schema: dict) -> str | None:
-    """What is wrong first: required fields, then kinds and choices of fields, then unknown fields."""
+def _exact(number) -> tuple[int, int, str]:
+    """Sign, size and digits of a number: 0.digits times 10**size, whatever its exponent."""
+    sign, whole, part, power = re.fullmatch(r"(-?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?", str(number)).groups()
+    digits = (whole + (part or "")).lstrip("0")
+    if not digits:
+        return 0, 0, ""
+    # int() of a text has a limit of digits, Decimal has none
+    return -1 if sign else 1, len(digits) - len(part or "") + int(Decimal(power or 0)), digits.rstrip("0")
+
+
+def _less(a, b) -> bool:
+    a, b = _exact(a), _exact(b)
+    return a[0] < b[0] if a[0] != b[0] else a[1:] < b[1:] if a[0] > 0 else b[1:] < a[1:]
+
+
+def _divides(step, number) -> bool:
+    (_, up, a), (_, down, b) = _exact(number), _exact(step)
+    power, a, b = (up - len(a)) - (down - len(b)), int(Decimal(a or 0)), int(Decimal(b))
+    return a == 0 or (power >= 0 and a * pow(10, power, b) % b == 0)
+
+
+def _alike(value):
+    """Equal for equal JSON values: numbers go by value, and are neither texts nor booleans."""
+    if isinstance(value, dict):
+        return "object", frozenset((k, _alike(v)) for k, v in value.items())
+    if isinstance(value, list):
+        return "array", tuple(map(_alike, value))
+    if isinstance(value, _Number) or (isinstance(value, (int, float)) and not isinstance(value, bool)):
+        return "number", _exact(value)
+    return type(value).__name__, value
+
+
+def _resolved(ref: str, root):
+    if ref != "#" and not ref.startswith("#/"):
+        raise ValueError(f"schema reference {ref} is not supported")
+    at = root
+    for name in ref.split("/")[1:]:
+        name = unquote(name).replace("~1", "/").replace("~0", "~")
+        at = at[int(name)] if isinstance(at, list) else at[name]
+    return at
+
+
+def understood(root: dict) -> None:
+    """Raises ValueError if a schema has keywords or kinds that `fault` doesn't know, or refers to itself
+    for the same value."""
+    todo, done = [root], set()
+
+    def walk(schema, trail):
+        if isinstance(schema, bool):
+            return
+        if not isinstance(schema, dict):
+            raise ValueError(f"not a schema: {schema!r}")
+        if id(schema) in trail:
+            raise ValueError("a schema refers to itself")
+        if id(schema) in done:
+            return
+        if strange := sorted(set(schema) - _KEYWORDS - ({"$id"} if schema is root else set())):
+            raise ValueError(f"schema keywords not supported: {', '.join(strange)}")
+        if strange := sorted(set(_kinds(schema)) - set(_KINDS) - {"number", "integer"}):
+            raise ValueError(f"schema types not supported: {', '.join(strange)}")
+        re.compile(schema.get("pattern", ""))
+        same = [s for name in ("allOf", "anyOf", "oneOf") for s in schema.get(name, [])]
+        same += [schema["not"]] if "not" in schema else []
+        same += [_resolved(schema["$ref"], root)] if "$ref" in schema else []
+        for inner in same:
+            walk(inner, trail | {id(schema)})
+        done.add(id(schema))
+        todo.extend(schema.get("properties", {}).values())
+        todo.extend(schema[name] for name in ("items", "additionalProperties") if name in schema)
+
+    while todo:
+        walk(todo.pop(), frozenset())
+
+
+def _kinds(schema: dict) -> list[str]:
+    kinds = schema.get("type", [])
+    return [kinds] if isinstance(kinds, str) else kinds
+
+
+def fault(value, schema, root=None, path: str = "") -> str | None:
+    """What is wrong first, with the path of the field (a.b, a[0]): the value's kind and choices, then
+    for objects required fields, the fields one by one and unknown fields, for arrays the items, for
+    texts and numbers their bounds, then what $ref, allOf, anyOf, oneOf and not ask."""
+    root = schema if root is None else root
+    at = path or "value"
+    if isinstance(schema, bool):
+        return None if schema else f"{at} is not allowed"
+    if "type" in schema and not any(_fits(value, kind) for kind in _kinds(schema)):
+        return f"{at} is not {' or '.join(_kinds(schema))}"
+    if "enum" in schema and _alike(value) not in map(_alike, schema["enum"]):
+        return f"{at} is none of the choices"
+    if "const" in schema and _alike(value) != _alike(schema["const"]):
+        return f"{at} is none of the choices"
+    if isinstance(value, dict):
+        wrong = _object_fault(value, schema, root, path)
+    elif isinstance(value, list):
+        wrong = _array_fault(value, schema, root, path)
+    elif isinstance(value, _Number):
+        wrong = _number_fault(value, schema, at)
+    elif isinstance(value, str):
+        wrong = _size_fault(len(value), schema, "Length", at)
+        if not wrong and "pattern" in schema and not re.search(schema["pattern"], value):
+            wrong = f"{at} doesn't match the pattern"
+    else:
+        wrong = None
+    if wrong:
+        return wrong
+    if "$ref" in schema and (wrong := fault(value, _resolved(schema["$ref"], root), root, path)):
+        return wrong
+    for inner in schema.get("allOf", []):
+        if wrong := fault(value, inner, root, path):
+            return wrong
+    if "anyOf" in schema and all(fault(value, s, root, path) for s in schema["anyOf"]):
+        return f"{at} fits none of the schemas"
+    if "oneOf" in schema and (n := sum(not fault(value, s, root, path) for s in schema["oneOf"])) != 1:
+        return f"{at} fits {'several' if n else 'none'} of the schemas"
+    if "not" in schema and not fault(value, schema["not"], root, path):
+        return f"{at} is not allowed"
+    return None
+
+
+def _size_fault(size: int, schema: dict, what: str, at: str) -> str | None:
+    if size < schema.get(f"min{what}", 0):
+        return f"{at} is too short" if what == "Length" else f"{at} has too few {what.lower()}"
+    if size > schema.get(f"max{what}", size):
+        return f"{at} is too long" if what == "Length" else f"{at} has too many {what.lower()}"
+    return None
+
+
+def _object_fault(value: dict, schema: dict, root, path: str) -> str | None:
+    inside = f"{path}." if path else ""
     for name in schema.get("required", []):
         if name not in value:
-            return f"missing {name}"
+            return f"missing {inside}{name}"
     fields = schema.get("properties", {})
     for name, field in fields.items():
-        if name in value:
-            if "type" in field and not _fits(value[name], field["type"]):
-                return f"{name} is not {field['type']}"
-            if "enum" in field and value[name] not in field["enum"]:
-                return f"{name} is none of the choices"
-    if not schema.get("additionalProperties", True):
-        for name in sorted(value):
-            if name not in fields:
-                return f"unknown {name}"
+        if name in value and (wrong := fault(value[name], field, root, inside + name)):
+            return wrong
+    others = schema.get("additionalProperties", True)
+    for name in sorted(value):
+        if name not in fields:
+            if others is False:
+                return f"unknown {inside}{name}"
+            if wrong := fault(value[name], others, root, inside + name):
+                return wrong
+    return _size_fault(len(value), schema, "Properties", path or "value")
+
+
+def _array_fault(value: list, schema: dict, root, path: str) -> str | None:
+    for i, item in enumerate(value if "items" in schema else []):
+        if wrong := fault(item, schema["items"], root, f"{path}[{i}]"):
+            return wrong
+    if schema.get("uniqueItems") and len(set(map(_alike, value))) < len(value):
+        return f"{path} repeats an item"
+    return _size_fault(len(value), schema, "Items", path)
+
+
+def _number_fault(value: _Number, schema: dict, at: str) -> str | None:
+    if ("minimum" in schema and _less(value, schema["minimum"])) or ("exclusiveMinimum" in schema and not _less(schema["exclusiveMinimum"], value)):
+        return f"{at} is too small"
+    if ("maximum" in schema and _less(schema["maximum"], value)) or ("exclusiveMaximum" in schema and not _less(value, schema["exclusiveMaximum"])):
+        return f"{at} is too large"
+    if "multipleOf" in schema and not _divides(schema["multipleOf"], value):
+        return f"{at} is not a multiple of {schema['multipleOf']}"
     return None
 
 
@@ -75,7 +233,12 @@ def checked(text: str | None, schema: dict | None) -> tuple[str | None, str | No
         return None, "not an object"
     if not isinstance(value, dict):
         return None, "not an object"
-    return canonical(value), "unknown tool" if schema is None else fault(value, schema)
+    text = None
+    try:
+        text = canonical(value)
+        return text, "unknown tool" if schema is None else fault(value, schema)
+    except RecursionError:
+        return text, "nested too deeply"
 
 
 def link(messages: DataFrame, key: str = "call_id") -> DataFrame:
@@ -125,6 +288,8 @@ def ordered(calls: DataFrame, scratch: Scratch, key: str = "call_id") -> DataFra
 
 def written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """rows with `fault` of the arguments and `json`, the call and its result as one canonical object."""
+    for schema in schemas.values():
+        understood(schema)
 
     @F.pandas_udf("fault string, json string")
     def write(call: pd.Series, tool: pd.Series, arguments: pd.Series, result: pd.Series) -> pd.DataFrame:

@@ -33,12 +33,59 @@ def test_canonical_json(value):
         ('{"query": "x", "z": true}', tc.SCHEMAS["lookup"], ('{"query":"x","z":true}', "unknown z")),
         ('{"words": 2, "tone": "cold"}', tc.SCHEMAS["answer"], ('{"tone":"cold","words":2}', "tone is none of the choices")),
         ("[" * 100_000, {}, (None, "not an object")),
+        ('{"a":' + "[" * 3000 + "]" * 3000 + "}", {}, (None, "nested too deeply")),
     ],
 )
 def test_checked(text, schema, want):
     assert tc.checked(text, schema) == want
 
 
+NESTED = {
+    "$defs": {"tree": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/tree"}}}, "additionalProperties": False}},
+    "properties": {
+        "tree": {"$ref": "#/$defs/tree"}, "pick": {"enum": [1, 2.5, "1", None]}, "name": {"type": ["string", "null"], "minLength": 2, "maxLength": 3, "pattern": "^[a-z]"},
+        "size": {"type": "number", "minimum": -1.5, "exclusiveMaximum": 1e3, "multipleOf": 0.5}, "list": {"minItems": 1, "maxItems": 3, "uniqueItems": True},
+        "any": {"anyOf": [{"type": "boolean"}, {"type": "object", "required": ["x"]}]}, "one": {"oneOf": [{"type": "number"}, {"type": "integer"}]},
+        "all": {"allOf": [{"minimum": 1}, {"maximum": 2}]}, "no": {"not": {"type": "null"}}, "big": {"maximum": 10**30}, "fixed": {"const": {"a": [1]}},
+    },
+    "additionalProperties": {"type": "string"},
+    "maxProperties": 3,
+}
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ('{"tree": {"n": 1, "kids": [{"n": 2}, {"n": 3, "kids": []}]}}', None),
+        ('{"tree": {"n": 1, "kids": [{"n": 2}, {"n": "3"}]}}', "tree.kids[1].n is not integer"),
+        ('{"tree": {"n": 1, "kids": [{}]}}', "missing tree.kids[0].n"),
+        ('{"tree": {"n": 1, "z": 1}}', "unknown tree.z"),
+        ('{"pick": 1}', None), ('{"pick": 1.0}', None), ('{"pick": 25e-1}', None), ('{"pick": "1"}', None), ('{"pick": null}', None),
+        ('{"pick": "2.5"}', "pick is none of the choices"), ('{"pick": true}', "pick is none of the choices"), ('{"pick": 10}', "pick is none of the choices"),
+        ('{"name": null}', None), ('{"name": "ab"}', None), ('{"name": 5}', "name is not string or null"), ('{"name": "a"}', "name is too short"),
+        ('{"name": "abcd"}', "name is too long"), ('{"name": "Ab"}', "name doesn't match the pattern"),
+        ('{"size": -1.50}', None), ('{"size": 999.5}', None), ('{"size": -2}', "size is too small"), ('{"size": 1000}', "size is too large"),
+        ('{"size": 1e99999999999999999999}', "size is too large"), ('{"size": -1e99999999999999999999}', "size is too small"),
+        ('{"size": 0.75}', "size is not a multiple of 0.5"), ('{"size": 1e-99999999999999999999}', "size is not a multiple of 0.5"), ('{"size": 0}', None),
+        ('{"big": 1e30}', None), ('{"big": 1000000000000000000000000000001}', "big is too large"),
+        ('{"list": []}', "list has too few items"), ('{"list": [1, 2, 3, 4]}', "list has too many items"), ('{"list": [1, "1", true]}', None), ('{"list": [{"a": 1}, {"a": 1.0}]}', "list repeats an item"),
+        ('{"any": true}', None), ('{"any": {"x": 0}}', None), ('{"any": {}}', "any fits none of the schemas"),
+        ('{"one": 1.5}', None), ('{"one": 1}', "one fits several of the schemas"), ('{"one": "1"}', "one fits none of the schemas"),
+        ('{"all": 1.5}', None), ('{"all": 3}', "all is too large"), ('{"no": null}', "no is not allowed"), ('{"fixed": {"a": [1.0]}}', None), ('{"fixed": {"a": []}}', "fixed is none of the choices"),
+        ('{"other": 1}', "other is not string"), ('{"a": "", "b": "", "c": "", "d": ""}', "value has too many properties"),
+    ],
+)
+def test_nested_schemas(text, want):
+    tc.understood(NESTED)
+    assert tc.checked(text, NESTED)[1] == want
+
+
+@pytest.mark.parametrize("schema", [{"if": {}}, {"properties": {"a": {"items": {"contains": {}}}}}, {"type": "text"}, {"$ref": "http://x.org/s"}, {"$ref": "#"}, {"items": [{}]}])
+def test_schemas_not_supported(spark, schema):
+    with pytest.raises(ValueError):
+        tc.linked_calls(spark.createDataFrame([], SCHEMA), {"tool": schema})
+
+
 def plain_order(calls):
     """Places by plain loops. calls: id -> (turn, after), of one conversation."""
     waits = {c: {a for a in after or [] if a in calls and a != c and a is not None} for c, (_, after) in calls.items()}
