@@ -122,6 +122,24 @@ def test_order_against_loops(spark, seed):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_tangled_order_of_the_whole_table(spark):
+    """The calls of all chats, waiting for earlier and later turns, for several calls and in cycles."""
+    from pyspark.sql import functions as F
+
+    calls = tc.calls_of(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")).where("kind = 'call'")
+    near = lambda by: F.concat(F.lit("c"), (F.col("turn") + by).cast("string"))
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    after = F.when(kind == 0, F.array(near(2))).when(kind == 1, F.array(near(-2), near(-4), near(2))).when(kind == 2, F.array(near(-2), near(0)))
+    calls = calls.withColumn("after", after)
+    chats = {}
+    for r in calls.collect():
+        chats.setdefault(r.conv_id, {})[r.call_id] = (r.turn, r.after)
+    want = {(conv, c, place) for conv, chat in chats.items() for c, place in (dict.fromkeys(chat) | plain_order(chat)).items()}
+    assert {tuple(r) for r in tc.ordered(calls, Scratch(spark, "test")).collect()} == want
+    tangled = {conv for conv, chat in chats.items() if any(int(a[1:]) > t and a in chat for t, after in chat.values() for a in after or [])}
+    assert len(tangled) > 20 and any(place is None for _, _, place in want)
+
+
 def test_links(spark):
     call = lambda conv, turn, i, after=(), tool="answer", args='{"words":1}': (conv, turn, "call", i, tool, args, list(after), None, 0)
     result = lambda conv, turn, i, text: (conv, turn, "result", i, None, None, None, text, 0)
