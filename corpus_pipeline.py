@@ -23,7 +23,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates, once; null ids stay."""
+    """Keeps the document of smallest id of each group of near-duplicates, once; null ids stay.
+
+    Rows that repeat an id are one document. If their texts differ, the row whose text has the smallest
+    hash stays and the others go, even one that is like no other document."""
     kept = minhash.near_duplicates(docs, 5, "0.8").where("kept and doc_id is not null").select(F.col("doc_id").alias("_id"))
     rows = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))

@@ -143,3 +143,13 @@ def test_empty_table(spark, sf, tmp_path):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_one_row_of_each_id(spark):
+    """Of an id with different texts one row stays, as the docstring says."""
+    texts = {"one": " ".join(f"a{i}" for i in range(40)), "two": " ".join(f"b{i}" for i in range(40))}
+    rows = [(1, texts["one"], "en", "a", 1, 1), (1, texts["two"], "en", "a", 1, 1), (2, "else " * 20, "en", "a", 1, 1)]
+    kept = pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2] and {r.text for r in kept if r.doc_id == 1} < set(texts.values())
+    hashes = spark.createDataFrame([(t,) for t in texts.values()], "text string").selectExpr("text", "xxhash64(text) as h").orderBy("h").collect()
+    assert next(r.text for r in kept if r.doc_id == 1) == hashes[0].text
