@@ -2,7 +2,8 @@
 
 Rounds of large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
 Beyond") bring every id to the smallest of its component. A step takes the minimum of an id's
-neighbours with partial aggregation and joins it back, so no neighbourhood is ever held in a task.
+neighbours with partial aggregation and joins it back, so no neighbourhood is ever held in a task; rows
+are two numbers, and adaptive execution splits the sorted join where one id has a large part of them.
 """
 
 from __future__ import annotations
@@ -18,27 +19,30 @@ def _down(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _lowest(links: DataFrame) -> DataFrame:
-    return links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("low"))
+def _with_lowest(links: DataFrame) -> DataFrame:
+    """Each link with the smallest neighbour of its end a."""
+    return links.join(links.groupBy("a").agg(F.min("b").alias("low")), "a")
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b): each linked id that isn't the smallest of its component, and that smallest id.
 
     links: integer columns a and b; null ends, loops and repeats don't matter."""
-    current, seen, step = scratch.keep(_down(links.select("a", "b")), f"{name}-0"), None, 0
-    while True:
+    current, step = scratch.keep(_down(links.select("a", "b")), f"{name}-0"), 0
+    state = _state(current)
+    while state[0]:
         both = current.union(current.select("b", "a"))
-        low = _lowest(both)
-        large = both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = _lowest(large)
-        small = large.join(low, large.a == low.u)
+        large = _with_lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
+        small = _with_lowest(large.where("a <> b").distinct())
         small = small.select("b", "low").union(small.select("a", "low")).toDF("a", "b").where("a <> b").distinct()
         step += 1
         after = scratch.keep(small, f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
-        state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
-            return after
-        current, seen = after, state
+        before, state, current = state, _state(after), after
+        if state == before:
+            break
+    return current

@@ -12,6 +12,10 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is common if it holds more than one in so many rows, so there are fewer common keys than that.
+COMMON = 1000
 
 _local_dir: str | None = None
 _shipped: set[str] = set()
@@ -96,3 +100,37 @@ def tasks_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(200_000, sum(x for x in sizes if x < 1 << 60) // bytes_each))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added where a table of these columns has them already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], many: str, total: float) -> DataFrame:
+    """rows joined with counts, which has one row for each key and says how many of `total` rows have it
+    (or their weight). Common keys (COMMON of them at most) are broadcast, so that no task gets all rows
+    of one; the others meet in a shuffle. counts should be cheap to read again, such as a kept table."""
+    limit = max(1.0, float(total or 0) / COMMON)
+    common = F.broadcast(counts.where(F.col(many) > limit))
+    rest = rows.join(common.select(*on), on, "left_anti").join(counts.where(F.col(many) <= limit), on)
+    return rows.join(common, on).unionByName(rest)
+
+
+def join_texts(pairs: DataFrame, texts: DataFrame, key: str, name: str, counts: DataFrame, total: int) -> DataFrame:
+    """pairs with the text (as `name`) of the id in column `key`. texts: rep and text; counts: rep and many,
+    how many of `total` pairs have it. The text of a common id is copied once for each COMMONth of the pairs
+    that it holds, 2 * COMMON copies at most over all ids, so its pairs are spread over as many tasks."""
+    share = max(1.0, float(total or 0) / COMMON)
+    salts = F.broadcast(counts.where(F.col("many") > share).select("rep", F.ceil(F.col("many") / share).cast("int").alias("_salts")))
+    spread = lambda df, rep: df.join(salts.withColumnRenamed("rep", "_common"), F.col(rep) == F.col("_common"), "left").withColumn("_salts", F.coalesce("_salts", F.lit(1))).drop("_common")
+    left = spread(pairs, key).withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), F.col("_salts")).cast("int")).drop("_salts")
+    right = spread(texts.select(F.col("rep").alias(key), F.col("text").alias(name)), key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    # the same join at every size: ids and texts grow with the input, so that neither side is broadcast
+    return left.hint("merge").join(right, [key, "_salt"]).drop("_salt")

@@ -94,3 +94,41 @@ def test_components(spark):
     want = {(x, find(x)) for x in list(root) if find(x) != x}
     found = components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark, "test"), "c")
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_ids_with_different_texts(spark, monkeypatch):
+    """Rows of one id are one node: what one of them is linked with is linked with all. Nodes that share
+    a shingle with more than PARTNERS others meet by their signatures."""
+    monkeypatch.setattr(minhash, "PARTNERS", 2)
+    monkeypatch.setattr(minhash, "SIGNATURES", 5)
+    rows = rows_of(4)
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows += [(903, texts[0]), (905, texts[0]), (905, texts[1]), (909, texts[1]), (909, texts[1]), (909, None), (910, ""), (910, texts[2]), (911, texts[2] + " end"), (1, rows[60][1])]
+    frame = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, rep int")
+    found = {tuple(r) for r in minhash.near_duplicates(frame, 3, "0.7", 1000).collect()}
+    assert found == brute(rows, 3, 7, 10)
+    assert {c for i, _, c, _ in found if i in (903, 905, 909)} == {903} and {c for i, _, c, _ in found if i in (910, 911)} == {910}
+
+
+@pytest.mark.parametrize("threshold", ["0.5", "1"])
+def test_lowest_and_highest_threshold(spark, threshold):
+    rows = [(i, " ".join(f"w{k}" for k in range(i, i + 30))) for i in range(0, 40, 5)] + [(50, "one"), (51, "ONE"), (52, "two")]
+    num, den = (1, 2) if threshold == "0.5" else (1, 1)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, threshold).collect()
+    assert {tuple(r) for r in found} == brute(rows, 3, num, den)
+
+
+def test_other_thresholds_are_refused(spark):
+    for threshold in ("0.49", "0", "1.1"):
+        with pytest.raises(ValueError, match="threshold"):
+            minhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string"), 3, threshold)
+
+
+def test_a_loose_cluster(spark):
+    """Texts that have most words in common but are no near-duplicates, and a few that are."""
+    rnd = random.Random(6)
+    common = [f"c{i}" for i in range(120)]
+    rows = [(i, " ".join(common + [f"x{rnd.randrange(10**6)}" for _ in range(60)])) for i in range(150)]
+    rows += [(200 + i, rows[i][1] + " more") for i in range(0, 150, 10)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(r) for r in minhash.near_duplicates(frame, 3, "0.85", 1000).collect()} == brute(rows, 3, 85, 100)
