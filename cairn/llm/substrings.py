@@ -11,13 +11,19 @@ anchor as far both ways as its windows do.
 Extension: occurrences of an anchor meet in one partition. Where their runs are equal word for word
 (128 bits of hash), all but the earliest are repeats as a whole. Only where an anchor has different
 runs, the earliest occurrence of each goes on, window by window, and meets the others under the
-windows' own hashes. Repeats that overlap unite to maximal ones when words are removed.
+windows' own hashes. Repeats that overlap unite to maximal ones when words are removed. Words are
+compared by these hashes only: two different passages of equal hashes (128 bits for runs and windows)
+would be taken for one.
 
 So no two occurrences are ever paired. Occurrences are packed into arrays before a shuffle, those of
-equal runs within some megabytes of text only once, so that a passage held by a third of all
-documents weighs little more than any other. An id is a key: null ids are left as they are and are
-no one's earlier occurrence; positions found for an id apply to each row that repeats it.
-Null and empty texts have no words and lose none.
+equal runs within some megabytes of text (a pack) only once, so that a passage held by a third of all
+documents weighs little more than any other. Where an anchor has different runs within a pack, as one in
+a passage between words that differ, these are known to go on: they are spread by their own hashes, and
+the anchor's partition gets one of them as a mark. So a partition gets at most one occurrence of an
+anchor from each pack, whatever surrounds it.
+
+An id is a key: null ids are left as they are and are no one's earlier occurrence; positions found for an
+id apply to each row that repeats it. Null and empty texts have no words and lose none.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import Scratch, tasks_for
+from cairn.llm.shared import Scratch, fresh, quoted, tasks_for
 from cairn.llm.words import U, between, mix, slices, sums, utf8, words
 
 WINDOW, GRAM = 20, 8
@@ -39,6 +45,7 @@ WINDOW, GRAM = 20, 8
 CHUNK, PACK = 1 << 20, 1 << 24
 #: Parquet bytes for each part of the anchors, and parts for each task.
 PART_BYTES, PARTS_EACH = 1 << 20, 8
+#: len is negative in a mark.
 _FIELDS = (("key", U), ("key2", U), ("doc", np.int64), ("start", np.int32), ("len", np.int32))
 _PACKED = "part int, " + ", ".join(f"{name} binary" for name, _ in _FIELDS)
 
@@ -96,10 +103,11 @@ def _all_runs(hashes: np.ndarray, first: np.ndarray, window: int, gram: int):
 
 
 class _Packer:
-    """Collects occurrences, drops those that repeat an earlier one here, and packs the rest by part."""
+    """Collects occurrences, drops those that repeat an earlier one here, and packs the rest by part: of
+    an anchor, or, if anchors are split and it has several runs here, of the run."""
 
-    def __init__(self, parts: int):
-        self.parts, self.held = parts, []
+    def __init__(self, parts: int, split: bool):
+        self.parts, self.split, self.held = parts, split, []
 
     def add(self, found: dict[str, np.ndarray]) -> None:
         if len(found["doc"]):
@@ -112,10 +120,18 @@ class _Packer:
         self.held = []
         lead, later = _earliest(columns)
         out = [_packed(-1, columns, later)] if later.any() else []
-        part = ((columns[0] >> U(32)) * U(self.parts) >> U(32)).astype(np.int64)
-        at = np.flatnonzero(lead)
-        cuts = np.flatnonzero(np.diff(part[at])) + 1
-        for group in np.split(at, cuts):
+        columns = [c[lead] for c in columns]
+        names = mix(columns[0])  # an anchor is the smallest of some hashes, so its own isn't spread evenly
+        if self.split:
+            group = _groups(columns[0])
+            several = np.bincount(group)[group] > 1
+            mark = several & (np.diff(group, prepend=-1) > 0)
+            names = np.concatenate((np.where(several, mix(names ^ columns[1]), names), names[mark]))
+            columns = [np.concatenate((c, c[mark])) for c in columns]
+            columns[4][len(several) :] *= -1
+        part = _part_of(names, self.parts)
+        order = np.argsort(part, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             out.append(_packed(int(part[group[0]]), columns, group))
         return [pa.RecordBatch.from_pylist(out, schema=_SCHEMA)]
 
@@ -123,6 +139,10 @@ class _Packer:
 _SCHEMA = pa.schema([("part", pa.int32())] + [(name, pa.binary()) for name, _ in _FIELDS])
 
 
+def _part_of(names: np.ndarray, parts: int) -> np.ndarray:
+    return ((names >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
 def _packed(part: int, columns: list[np.ndarray], which: np.ndarray) -> dict:
     return {"part": part} | {name: c[which].tobytes() for (name, _), c in zip(_FIELDS, columns)}
 
@@ -157,7 +177,7 @@ def _earliest(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchored(window: int, gram: int, parts: int):
     def run(batches):
-        packer, size = _Packer(parts), 0
+        packer, size = _Packer(parts, True), 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, at = utf8(batch.column(1))
@@ -178,7 +198,7 @@ def _windows(window: int, parts: int):
     """Hashes of the windows of the runs listed with each row."""
 
     def run(batches):
-        packer, size = _Packer(parts), 0
+        packer, size = _Packer(parts, False), 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, at = utf8(batch.column(1))
@@ -216,10 +236,10 @@ def _listed(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("len", pa.int32()), ("whole", pa.bool_())])
 
 
-def _met(batches):
-    """Repeats among the occurrences of each part: whole runs that start later than an equal one,
-    and, not whole, the first of each run where an anchor has several. For windows, whose two keys
-    are equal together, there are only the former."""
+def _met(parts: int):
+    """Repeats among the occurrences of each part: whole runs that start later than an equal one, and,
+    not whole, the first of each run of an anchor that has several, here or by a mark. For windows, whose
+    two keys are equal together, there are only the former."""
 
     def settle(part, rows):
         if not rows:
@@ -228,20 +248,26 @@ def _met(batches):
         if part < 0:
             yield _found(columns, np.ones(len(columns[0]), bool), True)
             return
-        columns = _sorted(columns)
+        marked = columns[0][columns[4] < 0]
+        columns = _sorted([c[columns[4] >= 0] for c in columns])
         lead, later = _earliest(columns)
         yield _found(columns, later, True)
+        # runs that were spread by their own hashes are here without their anchor's others
+        spread = _part_of(mix(columns[0]), parts) != part
         group = _groups(columns[0])
-        yield _found(columns, lead & (np.bincount(group, lead)[group] > 1), False)
+        yield _found(columns, lead & ((np.bincount(group, lead)[group] > 1) | spread | np.isin(columns[0], marked)), False)
 
-    last, rows = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["part"] != last or r["part"] < 0:
-                yield from settle(last, rows)
-                last, rows = r["part"], []
-            rows.append(r)
-    yield from settle(last, rows)
+    def run(batches):
+        last, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["part"] != last or r["part"] < 0:
+                    yield from settle(last, rows)
+                    last, rows = r["part"], []
+                rows.append(r)
+        yield from settle(last, rows)
+
+    return run
 
 
 def _found(columns, which, whole: bool) -> pa.RecordBatch:
@@ -253,11 +279,11 @@ def _meet(packed: DataFrame, parts: int) -> DataFrame:
     # later occurrences known before the shuffle (part -1) pass through, spread over all tasks
     tasks = max(1, -(-parts // PARTS_EACH))
     spread = F.when(F.col("part") < 0, F.xxhash64("doc")).otherwise(F.col("part").cast("bigint"))
-    return packed.repartition(tasks, spread).sortWithinPartitions("part").mapInArrow(_met, "doc_id bigint, start int, len int, whole boolean")
+    return packed.repartition(tasks, spread).sortWithinPartitions("part").mapInArrow(_met(parts), "doc_id bigint, start int, len int, whole boolean")
 
 
 def _lists(found: DataFrame, whole: bool) -> DataFrame:
-    return found.where(F.col("whole") == whole).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "len")).alias("runs"))
+    return found.where(F.col("whole") == whole).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "len")).alias("runs"))
 
 
 def repeats(documents: DataFrame, window: int = WINDOW, gram: int | None = None) -> DataFrame:
@@ -322,22 +348,26 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
 
 
-def _with_runs(documents: DataFrame, window: int, gram: int | None) -> DataFrame:
-    found = repeats(documents, window, gram).withColumnRenamed("doc_id", "_id")
-    return documents.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left")
+def _with_runs(documents: DataFrame, window: int, gram: int | None) -> tuple[DataFrame, str]:
+    """documents with the runs found for their ids, and that column's name."""
+    key, listed = fresh(documents.columns, "_id", "runs")
+    found = repeats(documents, window, gram).toDF(key, listed)
+    return documents.join(found, F.col("doc_id").cast("long") == F.col(key), "left"), listed
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int | None = None) -> DataFrame:
     """documents, with the words of repeated windows removed from text; all other columns as they are."""
     others = [c for c in documents.columns if c != "text"]
-    rows = _with_runs(documents, window, gram).select("text", "runs", *others)
-    out = rows.mapInArrow(_cut, rows.select("text", *others).schema)
-    return out.select(*documents.columns)
+    rows, listed = _with_runs(documents, window, gram)
+    rows = rows.select("text", listed, *map(quoted, others))
+    out = rows.mapInArrow(_cut, rows.drop(listed).schema)
+    return out.select(*map(quoted, documents.columns))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = _with_runs(documents, WINDOW, GRAM).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs")
+    rows, listed = _with_runs(documents, WINDOW, GRAM)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", listed)
     return rows.mapInArrow(_digests, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 

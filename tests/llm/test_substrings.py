@@ -87,3 +87,39 @@ def test_words_in_pieces(monkeypatch):
     for a, b in zip(want, words(data, at)):
         assert (a == b).all()
     assert [text[a:b] for a, b in zip(want[0], want[1])] == text.split()
+
+
+def spread_of(rows, parts, split):
+    """The most occurrences in a part after the packer, rows in packs of 100. Part -1 is spread by itself."""
+    held = {}
+    for i in range(0, len(rows), 100):
+        texts = [" ".join(w) for w in rows[i : i + 100]]
+        data, at = utf8(substrings.pa.array(texts))
+        _, _, hashes, first = words(data, at)
+        packer = substrings._Packer(parts, split)
+        found = substrings.runs(hashes, first, 20, 8)
+        packer.add(found | {"doc": found["row"] + i})
+        for batch in packer.flush():
+            for r in (r for r in batch.to_pylist() if r["part"] >= 0):
+                held[r["part"]] = held.get(r["part"], 0) + len(r["doc"]) // 8
+    return max(held.values()), sum(held.values())
+
+
+def test_one_passage_between_different_words(spark, tmp_path):
+    """Every run around the passage differs, so that all are known by the anchors of one passage."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [[f"x{rnd.randrange(10**9)}" for _ in range(40)] + passage + [f"y{rnd.randrange(10**9)}" for _ in range(40)] for _ in range(2000)]
+    most, everything = spread_of(rows, 100, True)
+    assert most < 2 * everything / 100 and spread_of(rows, 100, False)[0] > 5 * everything / 100
+    table = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    spark.createDataFrame(table, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in substrings.op3(spark, str(tmp_path)).collect()} == brute(table, 20)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f g", 1, 2, 3, 4), (2, "x a b c d e f g", 5, 6, 7, 8), (None, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _id int, runs int, start int, `a.b` int")
+    found = substrings.remove_repeats(frame, 5, 2)
+    assert found.columns == frame.columns
+    assert {tuple(r) for r in found.collect()} == {rows[0], (2, "x ", 5, 6, 7, 8), rows[2]}
