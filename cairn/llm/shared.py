@@ -113,11 +113,6 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def quoted(name: str) -> str:
-    """A column's name for select(), whatever characters it has."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], many: str, total: float) -> DataFrame:
     """rows joined with counts, which has one row for each key and says how many of `total` rows have it
     (or their weight). Common keys (COMMON of them at most) are broadcast, so that no task gets all rows

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import Scratch, fresh, quoted, tasks_for
+from cairn.llm.shared import Scratch, fresh, tasks_for
 from cairn.llm.words import U, between, mix, slices, sums, utf8, words
 
 WINDOW, GRAM = 20, 8
@@ -359,9 +359,9 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int | None
     """documents, with the words of repeated windows removed from text; all other columns as they are."""
     others = [c for c in documents.columns if c != "text"]
     rows, listed = _with_runs(documents, window, gram)
-    rows = rows.select("text", listed, *map(quoted, others))
+    rows = rows.select("text", listed, *others)
     out = rows.mapInArrow(_cut, rows.drop(listed).schema)
-    return out.select(*map(quoted, documents.columns))
+    return out.select(*documents.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

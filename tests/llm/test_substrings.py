@@ -119,7 +119,7 @@ def test_one_passage_between_different_words(spark, tmp_path):
 
 def test_clashing_names(spark):
     rows = [(1, "a b c d e f g", 1, 2, 3, 4), (2, "x a b c d e f g", 5, 6, 7, 8), (None, None, None, None, None, None)]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _id int, runs int, start int, `a.b` int")
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _id int, runs int, start int, RUNS_ int")
     found = substrings.remove_repeats(frame, 5, 2)
     assert found.columns == frame.columns
     assert {tuple(r) for r in found.collect()} == {rows[0], (2, "x ", 5, 6, 7, 8), rows[2]}
