@@ -3,6 +3,10 @@
 Every row gets a hash-random key. Within each source the rows are sorted by ranges of that key, a
 running count of words inside a range is added to the total of the ranges before it, and the source
 is cut where the running count meets its budget. A budget beyond the source's size repeats it.
+
+The key hashes the whole row, so only rows that are equal in every column share one. A key that holds
+more than one in COMMON of the rows is taken out of its range and dealt into slots of its own: equal rows
+can be counted in any order, so the mix is the same whichever slot a row falls into.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import Scratch, tasks_for
+from cairn.llm.shared import COMMON, Scratch, fresh, tasks_for
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by a source's place among the sources in code point order, null last; they repeat.
@@ -25,9 +29,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: str = SEED) -> Column:
-    """60 bits of the md5 of the id, the same in every run."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"/{seed}"))), 1, 15), 16, 10).cast("long")
+def random_key(*columns: Column, seed: str = SEED) -> Column:
+    """60 bits of the md5 of columns, the same in every run."""
+    text = [F.coalesce(c.cast("string"), F.lit("null")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *text, F.lit(seed))), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -52,32 +57,57 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levels.select("source", "source_size", target.alias("target"))
 
 
+def common_keys(keyed: DataFrame, key: str, bucket: str, ranges: int) -> list[int]:
+    """Keys that hold more than one in COMMON of the rows, fewer than COMMON of them. They are looked for
+    in ranges that hold more than twice their share; the driver sees one number for each of the ranges,
+    200,000 at most."""
+    counts = keyed.groupBy(bucket).agg(F.count("*").alias("many")).agg(F.sum("many").alias("rows"), F.collect_list(F.struct(bucket, "many")).alias("ranges")).first()
+    least = (counts.rows or 0) / COMMON
+    full = [r[0] for r in counts.ranges if r.many > least and r.many > 2 * counts.rows / ranges]
+    if not full:
+        return []
+    found = keyed.where(F.col(bucket).isin(full)).groupBy(key).agg(F.count("*").alias("many")).where(F.col("many") > max(1, least))
+    return sorted(r[0] for r in found.select(key).collect())
+
+
 def mix_sources(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, ranges: int | None = None) -> DataFrame:
     """What the mix takes of each row.
 
-    rows: doc_id, source, size and any others. Adds source_size, target and taken. Of a source's
-    budget (the target, rounded) whole repeats take every row; the rest is cut off the source in key
-    order, the last row in part. Rows of one id take their turn by size, then by a hash of their
-    other columns.
-    Empty rows and sources take 0; a null source is a source of its own; null ids sort together.
+    rows: doc_id, source, size and any others, a table that is cheap to read again. Adds source_size, target
+    and taken, in place of columns of these names. Of a source's budget (the target, rounded) whole repeats
+    take every row; the rest is cut off the source in key order, the last row in part. Rows that repeat an
+    id, or have none, are rows of their own.
+    Empty rows and sources take 0; a null source is a source of its own.
     The key is uniform, so equal ranges of it split even a source that holds most rows evenly."""
     spark = rows.sparkSession
     n = ranges or tasks_for(spark, rows, 1 << 20)
-    keyed = rows.withColumn("_key", random_key(F.col("doc_id"), seed)).withColumn("_range", F.floor(F.col("_key") / ((1 << 60) // n + 1)))
-    totals = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_size"))
-    earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    targets = source_targets(totals.select("source", F.col("_size").alias("size")), weights, share, most).withColumnRenamed("source", "_t")
-    starts = starts.join(targets, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    others = [F.xxhash64(*others)] if (others := [c for c in rows.columns if c not in ("doc_id", "source", "size")]) else []
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size", *others).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")), "left")
+    rows = rows.drop("source_size", "target", "taken")
+    key, bucket, slot, start, inside_, place_of, s_, t_ = fresh([*rows.columns, "source_size", "target", "taken"], "_key", "_range", "_slot", "_start", "_inside", "_place", "_s", "_t")
+    hashed = [F.xxhash64(*others)] if (others := [c for c in rows.columns if c not in ("doc_id", "source", "size")]) else []
+    keyed = rows.withColumn(key, random_key(F.col("doc_id"), F.col("source"), F.col("size"), *hashed, seed=seed)).withColumn(bucket, F.floor(F.col(key) / ((1 << 60) // n + 1)))
+    common = common_keys(keyed, key, bucket, n)
+    # before, at and between common keys; equal rows are dealt into COMMON slots
+    known = F.array(*map(F.lit, common)).cast("array<bigint>")
+    below, at = F.size(F.filter(known, lambda x: x < F.col(key))), F.array_contains(known, F.col(key))
+    dealt = F.when(at, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(COMMON))).otherwise(F.lit(0))
+    keyed = keyed.withColumn(slot, F.struct(F.col(bucket).alias("range"), (2 * below + at.cast("int")).alias("part"), dealt.alias("nth")) if common else F.struct(F.col(bucket).alias("range")))
+    if common:
+        keyed = Scratch(spark, "mixing").keep(keyed, "dealt")  # a row must have one slot wherever it is read
+    size = fresh(keyed.columns, "_size")[0]
+    totals = keyed.groupBy("source", slot).agg(F.sum("size").alias(size))
+    # one row for each source and slot
+    earlier = Window.partitionBy("source").orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("source").alias(s_), F.col(slot).alias(place_of), F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(start))
+    targets = source_targets(totals.select("source", F.col(size).alias("size")), weights, share, most).withColumnRenamed("source", t_)
+    starts = starts.join(targets, F.col(s_).eqNullSafe(F.col(t_))).drop(t_)
+    inside = Window.partitionBy("source", slot).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn(inside_, F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(starts, F.col("source").eqNullSafe(F.col(s_)) & (F.col(slot) == F.col(place_of)), "left")
     budget = F.floor(F.col("target") + 0.5)
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - whole * F.col("source_size") - F.col("_start") - F.col("_inside")
+    rest = budget - whole * F.col("source_size") - F.col(start) - F.col(inside_)
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.withColumn("taken", taken.cast("long")).drop("_key", "_range", "_inside", "_s", "_r", "_start")
+    return placed.withColumn("taken", taken.cast("long")).drop(key, bucket, slot, inside_, s_, place_of, start)
 
 
 def sized(documents: DataFrame) -> DataFrame:
@@ -93,7 +123,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/mix'), 1, 15) AS BIGINT) AS key
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || coalesce(source, 'null') || '/' || size || '/mix'), 1, 15) AS BIGINT) AS key
   FROM documents
 ), per_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import mixing
 
@@ -62,3 +63,28 @@ def test_targets(spark):
         rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size bigint")).collect()
         want = plain_targets(sizes)
         assert {r.source: pytest.approx(r.target) for r in rows} == want
+
+
+def test_rows_that_are_equal(spark, tmp_path):
+    """Most rows are equal in all columns, so that they share a key, which is dealt into slots."""
+    rows = [(None, "a", "x y z")] * 3000 + [(7, None, "x")] * 500 + rows_of(4)
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = mixing.sized(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    keyed = sizes.withColumn("k", mixing.random_key(F.col("doc_id"), F.col("source"), F.col("size"))).withColumn("r", F.floor(F.col("k") / (1 << 58)))
+    assert mixing.common_keys(keyed, "k", "r", 4)
+    found = [tuple(r) for r in mixing.op7(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, found)) == sorted(map(key, con.sql(mixing.OP7_SQL).fetchall()))
+
+
+def test_clashing_names(spark):
+    names = ["_key", "_range", "_slot", "_s", "_t", "_start", "_inside", "_size", "source_size", "target", "taken"]
+    rows = [(i, "ab"[i % 2], 3 + i, *range(len(names))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, " + ", ".join(f"{n} int" for n in names))
+    found = mixing.mix_sources(frame)
+    assert sorted(found.columns) == sorted(frame.columns)
+    plain = mixing.mix_sources(frame.select("doc_id", "source", "size"))
+    assert {(r.doc_id, r.source_size, r.target) for r in found.collect()} == {(r.doc_id, r.source_size, r.target) for r in plain.collect()}
+    assert all([r[n] for n in names[:8]] == list(range(8)) and 0 <= r.taken <= 2 * r.size for r in found.collect())
