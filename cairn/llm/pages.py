@@ -1,27 +1,36 @@
 """Main text of HTML pages.
 
-A page is parsed into blocks (paragraphs, headings, list items and the like). Elements that are
-menus, headers, footers, sidebars, forms, adverts, notices, comments, scripts or styles by their
-tag, role, class or id are boilerplate. If the page names its main part (article, else main), the
-blocks of that part are its text. All other blocks are the outside: on such a page they go whatever
-they say; on a page that names no main part they are its text but for boilerplate of its host.
-
-That boilerplate is found with a suffix array of the host: the outside token streams of its pages,
-marks between blocks included, are put one after the other and their suffixes ranked by prefix
-doubling up to RUN tokens. Stretches of RUN or more tokens that occur on several different pages are
-covered; the uncovered, unique runs stay. Pages without a main part that are copies of one another
-count as one page, whatever their ids and urls, so that copies don't cover each other: equal streams,
-and near copies as op10 finds them (ALIKE of their shingles of SHINGLE words in common, directly or by
-pages in between). A passage of RUN or more words that otherwise different pages share is covered,
-whether a menu or a quotation. A host beyond CHUNK tokens is dealt into chunks by page. Each chunk
-ranks its own suffixes, and only what it finds distinct goes on to be counted over all chunks, so
-the same stretches are covered as in one array.
-
-The array never decides inside a named main part: articles that are copied on a host repeat as a
-whole, and would all be lost.
-
-Null and empty pages have an empty text. Rows whose streams are equal are one page to the array and
-each has its text. Pages without a url have the host ''.
+A page is parsed into blocks (paragraphs, headings, list items and the like), each with what the markup
+says of it: whether it stands in an article or a main element, and whether in an element that is a menu,
+header, footer, sidebar, form, advert, notice, comment, script or style by its tag, role, class or id.
+Classes are only hints: they never discard an article, or what holds one. If a page has articles, its
+text comes from those under the fewest hints; a block inside them is left out if its tag or a hint says
+so, except that hints at layout (a sidebar, a header) don't count where most of the text would go by
+them. The same goes for main elements, and for pages with neither.
+
+What the markup leaves is judged by a suffix array of the host. The token streams of its pages, main
+parts included, with marks between blocks, are put one after the other; their suffixes are sorted by
+prefix doubling, and runs of suffixes with RUN or more tokens in common (by the array of longest common
+prefixes) are stretches that repeat. Covered tokens go, the unique runs stay:
+
+* Inside a main part a stretch is boilerplate of the site if at least half of the host's different main
+  parts have it, and SITE of them; passages that some articles quote from one another stay. Equal main
+  parts count once, so copied articles don't make their text boilerplate. If most of a main part would
+  go by this, it is a near copy of the others and stays whole.
+* On pages without a main part a stretch goes if two different pages have it. What stands beside main
+  parts of other pages counts as well. Pages that are copies of one another count as one, whatever their
+  ids and urls: equal streams, and near copies as op10 finds them (ALIKE of their shingles of SHINGLE
+  words in common, directly or by pages in between). A passage of RUN or more words that otherwise
+  different pages share is covered, whether a menu or a quotation.
+
+A host beyond CHUNK tokens is dealt into chunks by stream, the rows of a stream with very many copies into
+several. Each chunk sorts the suffixes of its different streams. Of pages without a main part what a chunk
+finds is counted over all chunks; of main parts only what a good part of those in some chunk have can be in
+half of all, and these candidates are counted in every chunk. So the same stretches are covered as in one
+array, and no task holds much more than a chunk.
+
+Null and empty pages have an empty text. Rows whose streams are equal have the same text. Pages without
+a url have the host ''.
 """
 
 from __future__ import annotations
@@ -36,16 +45,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.minhash import near_duplicates
-from cairn.llm.shared import Scratch
+from cairn.llm.shared import Scratch, join_counted
 from cairn.llm.words import U, between, mix, slices, sums, utf8, words
 
-#: Tokens of the shortest stretch that counts as repeated; a power of two. Tokens of a chunk.
-RUN, CHUNK = 8, 1 << 20
+#: Tokens of the shortest stretch that counts as repeated; tokens of a chunk; least main parts of a site.
+RUN, CHUNK, SITE = 8, 1 << 20, 4
 #: Words of a shingle, and least part of two pages' shingles in common that makes them near copies.
 SHINGLE, ALIKE = 5, "0.8"
-_DROP = frozenset("head title script style noscript template nav header footer aside form button select textarea iframe svg math canvas object embed video audio dialog menu map datalist".split())
-_MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar side menu navbar nav navigation breadcrumb breadcrumbs pagination pager header masthead footer foot comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login widget toolbar skip".split())
+#: Hosts beyond CHUNK are broadcast up to this number, else joined in a shuffle.
+BROADCAST = 100_000
+_DROP = frozenset("head title script style noscript template nav header footer aside button select textarea iframe svg math canvas object embed video audio dialog menu map datalist".split())
+#: Names of classes and ids that hint at boilerplate, and those of them that hint at layout.
+_LAYOUT = frozenset("alert foot footer header masthead menu nav navbar navigation pager search side sidebar skip social toolbar widget".split())
+_HINTS = _LAYOUT | frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay breadcrumb breadcrumbs pagination comment comments respond reply replies disqus share sharing related recommended newsletter subscribe subscription signup login".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: First parts of class names that say something else about the page.
+_ABOUT = frozenset("category format has no tag type with without".split())
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WHOLE = frozenset("html body main".split())
@@ -53,25 +68,30 @@ _WHOLE = frozenset("html body main".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _BOUNDS = frozenset("article aside body div footer form header html li main nav section table td th".split())
 _BETWEEN = "\x1e"
+#: Kinds of streams: a main part, the blocks of a page without one, and blocks that only count for others.
+MAIN, OPEN, BESIDE = 0, 1, 2
 
 
 class _Page(HTMLParser):
+    """Blocks as (part, hints above the part, layout hints inside, left out, text)."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, str]] = []
+        #: part, hints above it, layout hints, other hints, dropped by a tag
+        self.state = ("", 0, 0, 0, False)
+        self.open: list[tuple[str, tuple]] = []
         #: Where the open elements of each name stand in open, innermost last.
         self.places: defaultdict[str, list[int]] = defaultdict(list)
-        self.dropped, self.part = False, ""
         self.text: list[str] = []
-        self.blocks: list[tuple[str, str]] = []
-        self.named: set[str] = set()
+        self.blocks: list[tuple[str, int, int, bool, str]] = []
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             self.text.clear()
             if text:
-                self.blocks.append(("drop" if self.dropped else self.part, text))
+                part, above, layout, other, dropped = self.state
+                self.blocks.append((part, above, layout, dropped or other > 0, text))
 
     def handle_starttag(self, tag, attrs):
         block = tag in _BLOCKS
@@ -85,19 +105,16 @@ class _Page(HTMLParser):
             if tag == "br":
                 self.text.append(" ")
             return
-        dropped, part = self.dropped, self.part
-        if not dropped and (tag in _DROP or (attrs and tag not in _WHOLE and _marked(attrs))):
-            dropped = True
-        if not dropped:
-            named = "article" if tag == "article" else "main" if tag == "main" or (attrs and ("role", "main") in attrs) else ""
-            if named and part != "article":
-                part = named
-                self.named.add(named)
+        part, above, layout, other, dropped = before = self.state
+        layout_hint, other_hint = _hints(attrs) if attrs and tag not in _WHOLE else (False, False)
+        # a form may hold a whole page
+        layout, other, dropped = layout + (layout_hint or tag == "form"), other + other_hint, dropped or tag in _DROP
+        named = "article" if tag == "article" else "main" if tag == "main" or (attrs and ("role", "main") in attrs) else ""
+        if named and not dropped and (not part or (part == "main" and named == "article")):
+            part, above, layout, other = named, above + layout + other, 0, 0
         self.places[tag].append(len(self.open))
-        self.open.append((tag, self.dropped, self.part))
-        if dropped != self.dropped or part != self.part:
-            self.flush()
-            self.dropped, self.part = dropped, part
+        self.open.append((tag, before))
+        self._go((part, above, layout, other, dropped))
 
     def handle_endtag(self, tag):
         if tag in _BLOCKS or tag in _DROP:
@@ -105,6 +122,11 @@ class _Page(HTMLParser):
         if places := self.places.get(tag):
             self._close(places[-1])
 
+    def _go(self, state) -> None:
+        if state != self.state:
+            self.flush()
+            self.state = state
+
     def _last(self, tags) -> int:
         return max((places[-1] for tag in tags if (places := self.places.get(tag))), default=-1)
 
@@ -114,199 +136,364 @@ class _Page(HTMLParser):
             self._close(i)
 
     def _close(self, i: int) -> None:
-        _, dropped, part = self.open[i]
-        for tag, _, _ in self.open[i:]:
+        _, state = self.open[i]
+        for tag, _ in self.open[i:]:
             self.places[tag].pop()
         del self.open[i:]
-        if dropped != self.dropped or part != self.part:
-            self.flush()
-            self.dropped, self.part = dropped, part
+        self._go(state)
 
     def handle_data(self, data):
         if not self.cdata_elem:
             self.text.append(data)
 
 
-def _marked(attrs) -> bool:
+def _hints(attrs) -> tuple[bool, bool]:
+    """Whether an element's attributes hint at layout, and at other boilerplate."""
+    layout = other = False
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if value and name in ("class", "id") and not _MARKS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-            return True
-        if value and name == "role" and value.lower() in _ROLES:
-            return True
-        if value and name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            other = True
+        elif value and name in ("class", "id"):
+            for word in value.lower().split():
+                parts = [p for p in re.split(r"[^a-z]+", word) if p]
+                if parts and parts[0] not in _ABOUT and (found := _HINTS.intersection(parts)):
+                    layout, other = layout or bool(found & _LAYOUT), other or bool(found - _LAYOUT)
+        elif value and name == "role" and value.lower() in _ROLES:
+            layout = True
+        elif value and name == "style" and re.search(r"display\s*:\s*none", value):
+            other = True
+    return layout, other
 
 
 def parsed(html: str | None) -> tuple[list[str] | None, list[str]]:
-    """The blocks of the named main part, None if there is none; and the blocks outside of it that
-    boilerplate is looked for in: all of them beside a main part, else those not boilerplate themselves."""
+    """The blocks of the main part and those beside it; of a page without one, None and the blocks that
+    may be its text. A page that has neither has an empty main part."""
     if not html:
         return [], []
     page = _Page()
     page.feed(html)
     page.close()
     page.flush()
+    blocks = page.blocks
     for named in ("article", "main"):
-        if named in page.named and (main := [t for p, t in page.blocks if p == named or (named == "main" and p == "article")]):
-            return main, [t for p, t in page.blocks if p not in (named, "article")]
-    if not any(p != "drop" for p, _ in page.blocks):
-        return [], [t for _, t in page.blocks]
-    return None, [t for p, t in page.blocks if p != "drop"]
-
-
-def stretches(hashes: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where stretches of run tokens start that stay inside a page, and the rank of each among all
-    suffixes by their first run tokens: equal for equal stretches. By prefix doubling."""
-    n = len(hashes)
-    if n < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank, span = np.unique(hashes, return_inverse=True)[1].astype(np.int64), 1
-    while span < run:
-        pair = rank[:-span] * (n + 1) + rank[span:]
-        rank, span = np.unique(pair, return_inverse=True)[1].astype(np.int64), span * 2
-    start = np.flatnonzero(page[: len(rank)] == page[run - 1 : run - 1 + len(rank)])
-    return start, rank[start]
-
-
-def _streams(table: pa.Table):
-    """Token hashes, page numbers and pages' first tokens of the outside streams of a table."""
-    data, at = utf8(table["outside"])
-    found, first, base = [], [np.zeros(1, np.int64)], 0
-    for i, j in slices(at):
-        _, _, hashes, begin = words(data, at[i : j + 1])
-        found.append(hashes)
-        first.append(begin[1:] + base)
-        base += len(hashes)
-    first = np.concatenate(first)
-    return (np.concatenate(found) if found else np.zeros(0, U)), np.repeat(np.arange(len(first) - 1), np.diff(first)), first
-
-
-def _classes(run: int):
-    """The distinct stretches of a chunk, with the smallest and the largest group that has them."""
+        if hints := [b[1] for b in blocks if b[0] == named and not b[3]]:
+            least = min(hints)
+            taken = _without_layout(blocks, [b[0] == named and b[1] == least for b in blocks])
+            return [b[4] for b, t in zip(blocks, taken) if t], [b[4] for b, t in zip(blocks, taken) if not t]
+    taken = _without_layout(blocks, [not b[0] for b in blocks])
+    text = [b[4] for b, t in zip(blocks, taken) if t]
+    return (None, text) if text else ([], [b[4] for b in blocks])
+
+
+def _without_layout(blocks, here: list[bool]) -> list[bool]:
+    """Of the blocks here those that are text: with no more hints at layout than it takes to keep half of
+    what isn't left out for other reasons."""
+    sizes: defaultdict[int, int] = defaultdict(int)
+    for b, h in zip(blocks, here):
+        if h and not b[3]:
+            sizes[b[2]] += len(b[4])
+    half, most, most_size = sum(sizes.values()) / 2, -1, 0
+    for level in sorted(sizes):
+        most, most_size = level, most_size + sizes[level]
+        if most_size >= half:
+            break
+    return [h and not b[3] and b[2] <= most for b, h in zip(blocks, here)]
+
+
+def suffix_array(tokens: np.ndarray) -> np.ndarray:
+    """Where the suffixes of tokens start, in order, by prefix doubling; suffixes that are told apart
+    already aren't sorted again. The order of tokens is that of their numbers."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.argsort(tokens, kind="stable")
+    new = np.ones(n, bool)
+    new[1:] = tokens[order[1:]] != tokens[order[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    span = 1
+    while True:
+        # places in the order whose suffix shares its rank with a neighbour
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, n))
+        left = np.flatnonzero(np.repeat(size > 1, size))
+        if not len(left):
+            return order
+        at = order[left]
+        after = np.where(at + span < n, rank[np.minimum(at + span, n - 1)], -1)
+        inner = np.lexsort((after, rank[at]))
+        at, after, group = at[inner], after[inner], rank[at][inner]
+        order[left] = at
+        split = np.ones(len(left), bool)
+        split[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        new[left] = split
+        rank[at] = left[split][np.cumsum(split) - 1]
+        span *= 2
+
+
+def common_prefixes(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Tokens that each suffix in the order has in common with the one before it; 0 for the first. By
+    hashes of prefixes: lengths are doubled while these agree, then halved."""
+    n = len(order)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    prefix, a, b = sums(tokens), order[:-1], order[1:]
+    low = (tokens[a] == tokens[b]).astype(np.int64)
+    high = np.where(low, n - np.maximum(a, b), 0)
+
+    def tried(at, length):
+        same = between(prefix, a[at], a[at] + length) == between(prefix, b[at], b[at] + length)
+        low[at[same]], high[at[~same]] = length[same], length[~same] - 1
+        return same
+
+    at = np.flatnonzero(low < high)
+    while len(at):
+        at = at[tried(at, np.minimum(2 * low[at], high[at]))]
+        at = at[low[at] < high[at]]
+    at = np.flatnonzero(low < high)
+    while len(at):
+        tried(at, (low[at] + high[at] + 1) // 2)
+        at = at[low[at] < high[at]]
+    return np.concatenate(([0], low))
+
+
+class _Streams:
+    """The different streams of a table (key, kind, group, text) as one text of tokens, with the stretches
+    that repeat. Each stream ends with a token that no other has, so nothing reaches beyond its end."""
+
+    def __init__(self, table: pa.Table, run: int):
+        keys = np.array(table["key"], np.int64)
+        self.lead, self.row = np.unique(keys, return_index=True, return_inverse=True)[1:]
+        table = table.take(pa.array(self.lead))
+        self.keys, self.kinds, self.groups = (np.array(table[c], np.int64) for c in ("key", "kind", "group"))
+        data, at = utf8(table["text"])
+        found, first, base = [], [np.zeros(1, np.int64)], 0
+        for i, j in slices(at):
+            _, _, hashes, begin = words(data, at[i : j + 1])
+            ends = mix(np.arange(i, j, dtype=U) + U(0xA5A5A5A500000001))
+            found.append(np.insert(hashes, begin[1:], ends))
+            first.append(begin[1:] + np.arange(1, j - i + 1) + base)
+            base += len(found[-1])
+        self.tokens, self.first = (np.concatenate(found) if found else np.zeros(0, U)), np.concatenate(first)
+        self.owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.run = run
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where stretches that occur more than once start, and a number for each, in order of it."""
+        order = suffix_array(self.tokens)
+        alike = common_prefixes(self.tokens, order) >= self.run
+        inside = alike.copy()
+        inside[:-1] |= alike[1:]
+        return order[inside], np.cumsum(~alike)[inside]
+
+    def names(self, start: np.ndarray) -> np.ndarray:
+        return between(sums(self.tokens), start, start + self.run).view(np.int64)
+
+    def windows(self) -> np.ndarray:
+        """Where stretches of RUN tokens start that stay inside their stream."""
+        end = self.first[1:][self.owner] - 1  # the last token is the stream's end
+        return np.flatnonzero(np.arange(len(self.tokens)) + self.run <= end)
+
+    def covered(self, start: np.ndarray) -> np.ndarray:
+        change = np.zeros(len(self.tokens) + self.run + 1, np.int64)
+        np.add.at(change, start, 1)
+        np.add.at(change, start + self.run, -1)
+        return np.cumsum(change)[: len(self.tokens)] > 0
+
+    def counted(self, start: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stretch (in order of number): the first place in start, how many main parts have it,
+        and the smallest and largest group of other streams that have it (largest < smallest: none)."""
+        owner = self.owner[start]
+        lead = np.flatnonzero(np.diff(number, prepend=-1))
+        which = np.cumsum(np.diff(number, prepend=-1) != 0) - 1
+        main = self.kinds[owner] == MAIN
+        pairs = np.unique(which[main] * len(self.keys) + owner[main])
+        mains = np.bincount(pairs // max(1, len(self.keys)), minlength=len(lead))
+        low, high = np.full(len(lead), np.iinfo(np.int64).max), np.full(len(lead), np.iinfo(np.int64).min)
+        np.minimum.at(low, which[~main], self.groups[owner[~main]])
+        np.maximum.at(high, which[~main], self.groups[owner[~main]])
+        return lead, mains, low, high
+
+    def texts(self, site: np.ndarray, several: np.ndarray, table: pa.Table) -> list[str | None]:
+        """The texts of the table's rows, without the covered tokens; site and several: starts of stretches
+        that are boilerplate in main parts, and on pages without one."""
+        gone = np.where(self.kinds[self.owner] == MAIN, self.covered(site), self.covered(several)) if len(self.owner) else np.zeros(0, bool)
+        many = np.add.reduceat(gone.astype(np.int64), self.first[:-1]) if len(self.owner) else np.zeros(0, int)
+        out = []
+        for i, text in enumerate(table["text"].take(pa.array(self.lead)).to_pylist()):
+            a, b = self.first[i], self.first[i + 1] - 1
+            if self.kinds[i] == BESIDE:
+                out.append(None)
+            elif not many[i] or (self.kinds[i] == MAIN and 2 * many[i] > b - a):
+                out.append(_blocks(text))
+            else:
+                tokens = np.array(text.encode().split(), object)
+                keep = ~gone[a:b] | (tokens == _BETWEEN.encode())
+                out.append(_blocks(b" ".join(tokens[keep]).decode()))
+        return [out[i] for i in self.row]
+
+
+def _blocks(text: str) -> str:
+    return "\n\n".join(t for x in text.split(_BETWEEN) if (t := x.strip(" ")))
+
+
+def site_share(mains: int) -> int:
+    """How many of a host's different main parts make a stretch boilerplate."""
+    return max(SITE, -(-mains // 2))
+
 
+_OUT = "page_id bigint, url string, text string"
+
+
+def _written(table: pa.Table, texts: list[str | None]) -> pa.Table:
+    kept = pa.array([t is not None for t in texts], pa.bool_())
+    return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string())}).filter(kept)
+
+
+def _whole_host(run: int, array: bool):
     def go(table: pa.Table) -> pa.Table:
-        hashes, page, _ = _streams(table)
-        start, rank = stretches(hashes, page, run)
-        groups = np.array(table["group"])
-        own = groups[page[start]] if len(start) else np.zeros(0, np.int64)
-        order = np.lexsort((own, rank))
-        rank, own, start = rank[order], own[order], start[order]
-        lead = np.flatnonzero(np.diff(rank, prepend=-1))
-        last = np.append(lead[1:], len(rank)) - 1 if len(lead) else lead
-        name = between(sums(hashes), start[lead], start[lead] + run).view(np.int64)
-        host, chunk = table["host"][0].as_py(), table["chunk"][0].as_py()
-        return pa.table({"host": pa.array([host] * len(lead), pa.string()), "chunk": pa.array([chunk] * len(lead), pa.int32()), "stretch": pa.array(name), "low": pa.array(own[lead]), "high": pa.array(own[last])})
+        streams = _Streams(table, run)
+        none = np.zeros(0, np.int64)
+        if not array:
+            return _written(table, streams.texts(none, none, table))
+        start, number = streams.repeats()
+        lead, mains, low, high = streams.counted(start, number)
+        size = np.diff(np.append(lead, len(start)))
+        site = np.repeat(mains >= site_share(int((streams.kinds == MAIN).sum())), size)
+        return _written(table, streams.texts(start[site], start[np.repeat(low < high, size)], table))
 
     return go
 
 
-def _mark(table: pa.Table, run: int, known: np.ndarray | None) -> pa.Table:
-    """Tokens of each page that repeated stretches cover. known: hashes of the repeated stretches;
-    None where the table has the host's pages all together."""
-    hashes, page, first = _streams(table)
-    start, rank = stretches(hashes, page, run)
-    keys, groups = np.array(table["key"]), np.array(table["group"])
-    if known is None:
-        own = groups[page[start]] if len(start) else np.zeros(0, np.int64)
-        order = np.lexsort((own, rank))
-        rank, own = rank[order], own[order]
-        lead = np.flatnonzero(np.diff(rank, prepend=-1))
-        size = np.diff(np.append(lead, len(rank)))
-        several = own[lead] != own[lead + size - 1] if len(lead) else np.zeros(0, bool)
-        start = start[order[np.repeat(several, size)]]
-    else:
-        start = start[np.isin(between(sums(hashes), start, start + run).view(np.int64), known)]
-    change = np.zeros(len(hashes) + run + 1, np.int64)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + run, -1)
-    covered = np.cumsum(change)[: len(hashes)] > 0
-    at = np.flatnonzero(covered)
-    ends = np.searchsorted(at, first)
-    place = (at - first[page[at]]).astype(np.int32) if len(at) else np.zeros(0, np.int32)
-    out = pa.table({"key": pa.array(keys), "covered": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place))})
-    return out.filter(pa.array(np.diff(ends) > 0))
-
-
-def covered_tokens(streams: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
-    """key and covered (array<int>, places of tokens in the stream) of the pages with repeated stretches.
-
-    streams: key, host and outside, one row a page; group, if several pages are to count as one."""
-    pages = (streams if "group" in streams.columns else streams.withColumn("group", F.col("key"))).dropDuplicates(["key"])
-    size = F.size(F.split("outside", " "))
-    hosts = pages.groupBy(F.col("host").alias("_host")).agg(F.ceil(F.sum(size) / chunk).cast("int").alias("chunks"), F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    dealt = pages.join(hosts, F.col("host") == F.col("_host")).withColumn("chunk", F.pmod("key", "chunks").cast("int"))
-    mark_schema = "key bigint, covered array<int>"
-    small = dealt.where("chunks = 1").select("key", "group", "host", "chunk", "outside")
-    found = small.groupBy("host").applyInArrow(lambda t: _mark(t, run, None), mark_schema)
-    large = dealt.where("chunks > 1").select("key", "group", "host", "chunk", "outside")
-    classes = large.groupBy("host", "chunk").applyInArrow(_classes(run), "host string, chunk int, stretch bigint, low bigint, high bigint")
-    several = classes.groupBy("host", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "stretch")
-    known = classes.select("host", "chunk", "stretch").join(several, ["host", "stretch"])
-    by = ["host", "chunk"]
-    marked = large.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(lambda t, k: _mark(t, run, np.array(k["stretch"], np.int64)) if t.num_rows else pa.table({"key": pa.array([], pa.int64()), "covered": pa.array([], pa.list_(pa.int32()))}), mark_schema)
-    return found.union(marked)
+def _stretches(run: int):
+    """Of a chunk: the stretches on pages without a main part or beside one, with their smallest and
+    largest group; and, as candidates, those that so many of the chunk's main parts have that they may be
+    in half of the host's. A stream may be in `salts` chunks."""
 
+    def go(table: pa.Table) -> pa.Table:
+        streams = _Streams(table, run)
+        mains_here = int((streams.kinds == MAIN).sum())
+        start, number = streams.repeats()
+        lead, mains, low, high = streams.counted(start, number)
+        salts = table["salts"][0].as_py()
+        site = (2 * salts * mains >= mains_here) & (mains > 0)
+        # a stretch that is here once may be in another chunk too
+        once = np.setdiff1d(streams.windows(), start, assume_unique=True)
+        owner = streams.owner[once]
+        free = streams.kinds[owner] != MAIN
+        alone = once[~free] if mains_here <= 2 * salts else once[:0]
+        names = np.concatenate((streams.names(start[lead[low <= high]]), streams.names(once[free]), streams.names(start[lead[site]]), streams.names(alone)))
+        groups = streams.groups[owner[free]]
+        n, m = int((low <= high).sum()) + len(groups), int(site.sum()) + len(alone)
+        none = np.zeros(m, np.int64)
+        out = {"host": pa.array([table["host"][0].as_py()] * (n + m), pa.string()), "stretch": pa.array(names), "candidate": pa.array(np.arange(n + m) >= n)}
+        out |= {"low": pa.array(np.concatenate((low[low <= high], groups, none))), "high": pa.array(np.concatenate((high[low <= high], groups, none)))}
+        return pa.table(out)
 
-def different(streams: DataFrame, scratch: Scratch) -> DataFrame:
-    """key, group, host and outside of the streams that aren't empty, once each. Copies without a main
-    part are one group; what stands beside a main part is never copied text, and a group of its own."""
-    once = streams.where("outside <> ''").dropDuplicates(["key"])
-    copies = scratch.keep(once.where("not settled").select(F.col("key").alias("doc_id"), F.col("outside").alias("text")), "unsettled")
-    groups = near_duplicates(copies, SHINGLE, ALIKE).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
-    found = once.join(groups, F.col("key") == F.col("_key"), "left")
-    return found.select("key", F.coalesce("_group", "key").alias("group"), "host", "outside")
+    return go
 
 
-def _read(names: list[str], keep_main: bool):
-    """Rows of named main parts as (.., text), or all rows as (.., settled, outside)."""
+def _holders(run: int):
+    """The main parts of a chunk that have each candidate."""
 
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                pages = [parsed(h) for h in part.column("html").to_pylist()]
-                settled = pa.array([main is not None for main, _ in pages], pa.bool_())
-                others = [part.column(n) for n in names]
-                if keep_main:
-                    text = pa.array(["\n\n".join(main or ()) for main, _ in pages], pa.string())
-                    yield pa.RecordBatch.from_arrays([*others, text], [*names, "text"]).filter(settled)
-                else:
-                    outside = pa.array([f" {_BETWEEN} ".join(o) for _, o in pages], pa.string())
-                    yield pa.RecordBatch.from_arrays([*others, settled, outside], [*names, "settled", "outside"])
+    def go(table: pa.Table, candidates: pa.Table) -> pa.Table:
+        names = keys = np.zeros(0, np.int64)
+        if table.num_rows and candidates.num_rows:
+            streams = _Streams(table, run)
+            start = streams.windows()
+            start = start[streams.kinds[streams.owner[start]] == MAIN]
+            found = streams.names(start)
+            hit = np.isin(found, np.array(candidates["stretch"], np.int64))
+            names, keys = np.unique(np.stack((found[hit], streams.keys[streams.owner[start[hit]]])), axis=1)
+        host = table["host"][0].as_py() if table.num_rows else None
+        return pa.table({"host": pa.array([host] * len(names), pa.string()), "stretch": pa.array(names), "key": pa.array(keys)})
 
-    return run
+    return go
 
 
-def _unique_runs(batches):
+def _chunk(run: int):
+    def go(table: pa.Table, known: pa.Table) -> pa.Table:
+        streams = _Streams(table, run)
+        start = streams.windows()
+        names, site = streams.names(start), np.array(known["site"], bool)
+        stretch = np.array(known["stretch"], np.int64)
+        return _written(table, streams.texts(start[np.isin(names, stretch[site])], start[np.isin(names, stretch[~site])], table))
+
+    def run_if_any(table: pa.Table, known: pa.Table) -> pa.Table:
+        if table.num_rows:
+            return go(table, known)
+        return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+
+    return run_if_any
+
+
+def cleaned(streams: DataFrame, scratch: Scratch, run: int = RUN, chunk: int = CHUNK, array: bool = True) -> DataFrame:
+    """page_id, url and text of the rows of streams (page_id, url, host, key, kind, group, text, size, cheap
+    to read again; rows of one key are alike but for page_id and url) that aren't of kind BESIDE."""
+    by_key = streams.groupBy("host", "key", "kind").agg(F.sum("size").alias("size"))
+    chunks, salts = F.ceil(F.sum("size") / chunk).cast("int"), F.ceil(4 * F.max("size") / chunk).cast("int")
+    hosts = by_key.groupBy(F.col("host").alias("_host")).agg(chunks.alias("chunks"), salts.alias("salts"), F.sum((F.col("kind") == MAIN).cast("int")).alias("mains"))
+    large = scratch.keep(hosts.where("chunks > 1"), "large-hosts")
+    n_large = large.count()
+    dealt = streams.drop("size").join(F.broadcast(large) if n_large <= BROADCAST else large, F.col("host") == F.col("_host"), "left").drop("_host")
+    whole = dealt.where("chunks is null").groupBy("host").applyInArrow(_whole_host(run, array), _OUT)
+    if not n_large:
+        return whole
+    # which chunk a copy is in matters to nothing but size
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts"))
+    dealt = dealt.where("chunks is not null").withColumn("chunk", F.pmod(F.xxhash64("key") + salt, F.col("chunks")).cast("int"))
+    by = ["host", "chunk"]
+    if not array:
+        return whole.union(dealt.groupBy(*by).applyInArrow(_whole_host(run, False), _OUT))
+    found = dealt.groupBy(*by).applyInArrow(_stretches(run), "host string, stretch bigint, candidate boolean, low bigint, high bigint")
+    found = scratch.keep(found, "stretches")
+    several = found.where("not candidate").groupBy("host", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    every = large.select(F.col("_host").alias("host"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    candidates = found.where("candidate").select("host", "stretch").distinct().join(every, "host")
+    holders = dealt.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInArrow(_holders(run), "host string, stretch bigint, key bigint")
+    have = holders.distinct().groupBy("host", "stretch").agg(F.count("*").alias("have"))
+    share = F.greatest(F.lit(SITE), F.ceil(F.col("mains") / 2))
+    site = have.join(large, F.col("host") == F.col("_host")).where(F.col("have") >= share)
+    known = several.select("host", "stretch", F.lit(False).alias("site")).union(site.select("host", "stretch", F.lit(True)))
+    known = scratch.keep(known, "known").join(every, "host")
+    return whole.union(dealt.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(_chunk(run), _OUT))
+
+
+_STREAMS = "page_id bigint, url string, host string, kind int, text string"
+
+
+def _read(batches):
+    """A row for each page's text, and one for what stands beside it, if anything does."""
     for batch in batches:
-        out = []
-        for outside, covered in zip(batch.column("outside").to_pylist(), batch.column("covered").to_pylist()):
-            tokens = np.array(outside.encode().split(), object)
-            keep = np.ones(len(tokens), bool)
-            keep[covered or []] = False
-            keep |= tokens == _BETWEEN.encode()
-            blocks = b" ".join(tokens[keep]).decode().split(_BETWEEN)
-            out.append("\n\n".join(t for b in blocks if (t := b.strip(" "))))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-
-def main_text(pages: DataFrame, run: int = RUN, chunk: int = CHUNK) -> DataFrame:
-    """page_id, url and text of each row of pages (page_id, url, html)."""
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            rows, kinds, texts = [], [], []
+            for k, html in enumerate(part.column("html").to_pylist()):
+                main, others = parsed(html)
+                for kind, found in [(OPEN, others)] if main is None else [(MAIN, main), (BESIDE, others)]:
+                    if kind != BESIDE or found:
+                        rows.append(k), kinds.append(kind), texts.append(f" {_BETWEEN} ".join(found))
+            others = [part.column(n).take(pa.array(rows, pa.int64())) for n in ("page_id", "url", "host")]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(kinds, pa.int32()), pa.array(texts, pa.string())], ["page_id", "url", "host", "kind", "text"])
+
+
+def main_text(pages: DataFrame, run: int = RUN, chunk: int = CHUNK, array: bool = True) -> DataFrame:
+    """page_id, url and text of each row of pages (page_id, url, html). array=False: by the markup alone."""
     scratch = Scratch(pages.sparkSession, "pages")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    hosted = rows.select("page_id", "url", host.alias("host"), "html")
-    schema = "page_id bigint, url string, host string"
-    streams = hosted.mapInArrow(_read(["page_id", "url", "host"], False), f"{schema}, settled boolean, outside string")
-    streams = scratch.keep(streams.withColumn("key", F.xxhash64("host", "settled", "outside")), "streams")
-    # pages without a named main part decide with their whole host; elsewhere the array has nothing to say
-    settled = rows.mapInArrow(_read(["page_id", "url"], True), "page_id bigint, url string, text string")
-    covered = covered_tokens(scratch.keep(different(streams, scratch), "different"), run, chunk).withColumnRenamed("key", "_key")
-    left = streams.where("not settled").join(covered, F.col("key") == F.col("_key"), "left")
-    return settled.union(left.select("page_id", "url", "outside", "covered").mapInArrow(_unique_runs, "page_id bigint, url string, text string"))
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), "html")
+    streams = rows.mapInArrow(_read, _STREAMS).withColumn("key", F.xxhash64("host", "kind", "text")).withColumn("size", F.size(F.split("text", " ")))
+    streams = scratch.keep(streams, "streams")
+    empty = streams.where((F.col("kind") != BESIDE) & (F.col("text") == "")).select("page_id", "url", "text")
+    streams = streams.where("text <> ''")
+    opened, settled = streams.where(F.col("kind") == OPEN), streams.where(F.col("kind") != OPEN).withColumn("group", F.col("key"))
+    once = scratch.keep(opened.groupBy("key").agg(F.any_value("text").alias("text"), F.count("*").alias("many")), "open")
+    if once.isEmpty():
+        return cleaned(settled, scratch, run, chunk, array).union(empty)
+    near = near_duplicates(once.select(F.col("key").alias("doc_id"), "text"), SHINGLE, ALIKE).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    groups = scratch.keep(near.join(once.select("key", "many"), "key"), "groups")
+    grouped = join_counted(opened, groups, ["key"], "many", opened.count()).drop("many")
+    return cleaned(scratch.keep(settled.unionByName(grouped), "grouped"), scratch, run, chunk, array).union(empty)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from cairn.llm import pages
+from cairn.llm.shared import Scratch
 
 CASES = [
     (None, [], []),
@@ -21,6 +22,17 @@ CASES = [
     ("<article></article><nav>n</nav>", [], ["n"]),
     ("<div hidden>a</div><div style='display: none'>b</div><div role='navigation'>c</div>d", None, ["d"]),
     ("</p></div><<p>>&#x1F600;", None, ["<", ">😀"]),
+    ("<div class='layout has-sidebar'><article>a</article></div><div class='sidebar'>s</div>", ["a"], ["s"]),
+    ("<div class='sidebar'><article>a</article><p>s</div>", ["a"], ["s"]),
+    ("<div id='page' class='no-header'><p>text</div>", None, ["text"]),
+    ("<article class='post category-social'>a</article>", ["a"], []),
+    ("<article class='promo'>a<p class='ad'>buy</article>", ["a"], ["buy"]),
+    ("<form id='aspnetForm'><div class='menu'>m</div><article>a</article></form>", ["a"], ["m"]),
+    ("<form id='aspnetForm'><div class='menu'>m</div><p>text of the page</form>", None, ["text of the page"]),
+    ("<article><div class='content with-sidebar nav-left'><p>long text</p></div><p>x</article>", ["long text", "x"], []),
+    ("<div class='sidebar'><article>a</article><section id='comments'><article class='comment'>c</article></section></div>", ["a"], ["c"]),
+    ("<article>a<section class='comments'><article>c</article></section></article>", ["a"], ["c"]),
+    ("<aside><article>teaser</article></aside><p>text", None, ["text"]),
 ]
 
 
@@ -60,29 +72,78 @@ def covered_by_loops(streams, run):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 100])
-def test_array_against_loops(spark, chunk):
-    rnd = random.Random(7)
+def streams_of(rnd, kinds):
+    """Streams of a few hosts with stretches in common; (host, key) -> (kind, tokens)."""
     common = [[rnd.choice("abcdefghij") + str(k) for _ in range(rnd.randrange(3, 20))] for k in range(6)]
-    streams = {}
+    out = {}
     for key in range(120):
         host = rnd.choice(["", "x.org", "x.org", "y.net", f"only{key}"])
         tokens = []
         for _ in range(rnd.randrange(6)):
             tokens += rnd.choice([rnd.choice(common), [rnd.choice("pqrs") for _ in range(rnd.randrange(9))], ["\x1e"]])
-        streams[host, key] = tokens
-    frame = spark.createDataFrame([(k, h, " ".join(t)) for (h, k), t in streams.items() if t], "key bigint, host string, outside string")
-    found = {r.key: list(r.covered) for r in pages.covered_tokens(frame, 8, chunk).collect()}
-    assert found == covered_by_loops(streams, 8)
+        if tokens:
+            out[host, key] = rnd.choice(kinds), tokens
+    return out
+
 
+def frame_of(spark, streams, copies=1):
+    rows = [(k, f"{k}", h, k, kind, k, " ".join(t), len(t)) for (h, k), (kind, t) in streams.items() for _ in range(copies if k % 7 == 0 else 1)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, host string, key bigint, kind int, group bigint, text string, size int").repartition(3)
 
-def test_ranks_are_those_of_sorted_suffixes():
-    rnd = np.random.default_rng(1)
-    tokens = rnd.integers(0, 3, 200).astype(np.uint64)
-    start, rank = pages.stretches(tokens, np.zeros(200, int), 8)
-    suffixes = [tuple(tokens[i : i + 8]) for i in start]
-    place = {s: i for i, s in enumerate(sorted(set(suffixes)))}
-    assert [place[s] for s in suffixes] == rank.tolist()
+
+def left(tokens, gone):
+    blocks = " ".join(t for i, t in enumerate(tokens) if t == "\x1e" or i not in gone).split("\x1e")
+    return "\n\n".join(b.strip() for b in blocks if b.strip())
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 100])
+def test_array_against_loops(spark, chunk):
+    streams = streams_of(random.Random(7), [pages.OPEN])
+    covered = covered_by_loops({k: t for k, (_, t) in streams.items()}, 8)
+    want = {key: left(t, set(covered.get(key, ()))) for (_, key), (_, t) in streams.items()}
+    found = pages.cleaned(frame_of(spark, streams, 40), Scratch(spark, "test"), 8, chunk).collect()
+    assert {r.page_id: r.text for r in found} == want and len(found) == sum(40 if k % 7 == 0 else 1 for _, k in streams)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 200])
+def test_main_parts_against_loops(spark, chunk):
+    """Stretches of half of a host's main parts go, and of SITE at least, unless they are most of it."""
+    rnd = random.Random(5)
+    line, rare = [f"n{i}" for i in range(12)], [f"r{i}" for i in range(10)]
+    streams = {}
+    for key in range(160):
+        host = rnd.choice(["x.org", "x.org", "y.net", f"few{key % 30}"])
+        tokens = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([5, 30, 60]))]
+        for part in [line] * (rnd.random() < 0.7) + [rare] * (rnd.random() < 0.2):
+            at = rnd.randrange(len(tokens))
+            tokens[at:at] = part
+        streams[host, key] = rnd.choice([pages.MAIN, pages.MAIN, pages.MAIN, pages.BESIDE]), tokens
+    want = {}
+    for (host, key), (kind, tokens) in streams.items():
+        if kind != pages.MAIN:
+            continue
+        mains = [t for (h, _), (k, t) in streams.items() if h == host and k == pages.MAIN]
+        gone = set()
+        for i in range(len(tokens) - 7):
+            have = sum(any(t[j : j + 8] == tokens[i : i + 8] for j in range(len(t) - 7)) for t in mains)
+            if have >= max(pages.SITE, len(mains) / 2):
+                gone |= set(range(i, i + 8))
+        want[key] = left(tokens, gone if 2 * len(gone) <= len(tokens) else set())
+    found = {r.page_id: r.text for r in pages.cleaned(frame_of(spark, streams, 20), Scratch(spark, "test"), 8, chunk).collect()}
+    assert found == want and 0 < sum(t != " ".join(streams[h, k][1]) for (h, k) in streams if k in want for t in [want[k]])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_array(seed):
+    rnd = np.random.default_rng(seed)
+    tokens = rnd.integers(0, 3, rnd.integers(1, 300)).astype(np.uint64)
+    if seed == 3:
+        tokens[:] = 1
+    order = pages.suffix_array(tokens)
+    texts = [tuple(tokens[i:]) for i in order]
+    assert texts == sorted(texts) and sorted(order) == list(range(len(tokens)))
+    want = [0] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(texts, texts[1:])]
+    assert pages.common_prefixes(tokens, order).tolist() == want
 
 
 def test_frame(spark):
@@ -124,3 +185,20 @@ def test_query_against_patterns(spark):
         truth[r.page_id] = "\n\n".join(b for b in blocks if b)
     rows = pages.op4(spark, sf).collect()
     assert {r.page_id: r.text for r in rows} == truth and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_boilerplate_that_only_the_array_finds(spark, tmp_path):
+    """Lines without any mark inside articles, and menus of pages without one: the query with and without
+    the array."""
+    rnd = random.Random(4)
+    prose = lambda n: " ".join(f"w{rnd.randrange(9999)}" for _ in range(n))
+    line = "Read all our stories on any device you like today"
+    quoted, copied = prose(12), prose(90)
+    body = {k: (f"{prose(30)} {quoted}" if k < 3 else copied if k < 9 else prose(40)) for k in range(14)}
+    rows = [(k, f"http://a.org/{k}", f"<nav>n</nav><article><p>{b}</p><p>{line}</p></article>") for k, b in body.items()]
+    bare = {100 + k: prose(30) for k in range(3)}
+    rows += [(k, f"http://b.org/{k}", f"<div>{line}</div><div>{b}</div>") for k, b in bare.items()]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.page_id: r.text for r in pages.op4(spark, str(tmp_path)).collect()} == body | bare
+    off = {r.page_id: r.text for r in pages.main_text(spark.read.parquet(f"{tmp_path}/pages.parquet"), array=False).collect()}
+    assert off == {k: f"{b}\n\n{line}" for k, b in body.items()} | {k: f"{line}\n\n{b}" for k, b in bare.items()}
