@@ -92,8 +92,9 @@ def test_components(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     want = {(x, find(x)) for x in list(root) if find(x) != x}
-    found = components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark, "test"), "c")
-    assert {tuple(r) for r in found.collect()} == want
+    for few in (1 << 20, 0):
+        found = components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark, "test"), "c", few)
+        assert {tuple(r) for r in found.collect()} == want
 
 
 def test_ids_with_different_texts(spark, monkeypatch):
