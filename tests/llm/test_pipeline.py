@@ -7,10 +7,12 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from cairn.llm import quality  # noqa: E402
+from cairn.llm.shared import Scratch  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int"
 
@@ -153,3 +155,15 @@ def test_one_row_of_each_id(spark):
     assert sorted(r.doc_id for r in kept) == [1, 2] and {r.text for r in kept if r.doc_id == 1} < set(texts.values())
     hashes = spark.createDataFrame([(t,) for t in texts.values()], "text string").selectExpr("text", "xxhash64(text) as h").orderBy("h").collect()
     assert next(r.text for r in kept if r.doc_id == 1) == hashes[0].text
+
+
+def test_clashing_names(spark, sf):
+    """Columns named as the stages' own come through as they were."""
+    names = ["_quality", "score_", "_id", "_text", "_row", "runs", "_key", "_range", "_slot", "_size", "size", "taken", "target", "source_size", "row", "nth", "_part", "_turn"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.select("*", *((F.xxhash64("doc_id") + i).alias(n) for i, n in enumerate(names)))
+    for _, stage in pipeline.STAGES[:-1]:
+        more = Scratch(spark, "clash").keep(stage(spark, more, sf), "t")
+        assert more.columns == [*docs.columns, *names]
+    wrong = [F.col(n) != F.xxhash64("doc_id") + i for i, n in enumerate(names)]
+    assert more.count() > 50 and all(more.where(w).count() == 0 for w in wrong)
