@@ -1,19 +1,21 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of the vectors of its words, of the character n-grams inside each word
-(between marks for its ends) and of its word pairs; a softmax layer over the average gives the
-classes. Words and n-grams are hashed to BUCKETS rows. Of word pairs at most PAIRS words apart, only
-those of equal words count, each distance with a row of its own: the words that junk repeats are
-new in each document, so that hashes of the pairs themselves could not be learnt. Vectors and layer are trained by stochastic gradient descent in numpy, as in Joulin et
-al., "Bag of Tricks for Efficient Text Classification".
+(between marks for its ends), of its word bigrams and trigrams, and of the patterns of these: which of
+their words are equal. A pattern says of an n-gram what it has in common with those of words that are new.
+A softmax layer over the average gives the classes. All features are hashed to BUCKETS rows. Vectors and
+layer are trained by stochastic gradient descent in numpy, as in Joulin et al., "Bag of Tricks for
+Efficient Text Classification".
 
-Training takes SAMPLE labelled rows at most, those with the smallest hashes of their ids; this bound
-is the one limit on data here. Scoring covers every whole text: as the layer is linear before the
-softmax, each bucket comes down to one number, a few hundred kilobytes that every task gets.
+Training takes SAMPLE labelled rows at most, those with the smallest hashes of their ids, and of these
+the first whose texts have SAMPLE_BYTES together; these bounds are the one limit on data here. Scoring
+covers every whole text: as the layer is linear before the softmax, each bucket comes down to one number,
+a megabyte that every task gets.
 
 Null and empty texts, and those of white space only, have no words and are scored by the layer's
 bias. Labels that are null, or without a document, are not learnt from; where none are left, every
-score is 0.5. Several labels of an id are several examples.
+score is 0.5. Several labels of an id are several examples; of several texts of an id the first in byte
+order is learnt from. A row without an id is scored, is not held out, and is not learnt from.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from cairn.llm.words import U, between, mix, slices, sums, utf8, words
 
 SAMPLE, BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 6000, 1 << 17, 8, 6, 16, 1.0, 17
-#: Lengths of the character n-grams, in bytes.
-GRAMS = (3, 4, 5)
-PAIRS = 8
+SAMPLE_BYTES = 1 << 26
+#: Lengths of the character n-grams, in bytes, and of the word n-grams.
+GRAMS, WORD_GRAMS = (3, 4, 5), (2, 3)
 #: A score from which a document counts as good.
 KEEP = 0.3
 _EDGE = 1
@@ -64,15 +66,32 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.nd
     return out, offsets
 
 
+def word_grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the word n-grams of rows and of their patterns, and the row of each; first: the number of
+    each row's first word."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    buckets, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in WORD_GRAMS:
+        count = max(0, len(hashes) - n + 1)
+        inside = np.flatnonzero(row[:count] == row[n - 1 : n - 1 + count])
+        gram, pattern, bit = np.full(len(inside), n, U), np.full(len(inside), n, U), 8
+        for j in range(n):
+            gram = mix(gram * U(0x9E3779B97F4A7C15) + hashes[inside + j])
+            for i in range(j):
+                pattern += (hashes[inside + i] == hashes[inside + j]).astype(U) * U(bit)
+                bit *= 2
+        buckets += [_bucket(gram), _bucket(mix(pattern + U(0x5851F42D4C957F2D)))]
+        rows += [inside_rows := row[inside], inside_rows]
+    return np.concatenate(buckets), np.concatenate(rows)
+
+
 def _distinct(data: np.ndarray, at: np.ndarray):
-    """Distinct words of the rows: their features; each word's number among them, by row; and how
-    many pairs of equal words each row has at each distance."""
+    """Distinct words of the rows: their features; each word's number among them, by row; and buckets and
+    rows of the word n-grams."""
     start, end, hashes, first = words(data, at)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    pairs = np.stack([np.bincount(row[d:][(hashes[d:] == hashes[:-d]) & (row[d:] == row[:-d])], minlength=len(first) - 1) for d in range(1, PAIRS + 1)], 1)
     _, lead, number = np.unique(hashes, return_index=True, return_inverse=True)
     features, offsets = subwords(data, start[lead], end[lead], hashes[lead])
-    return features, offsets, number, first, pairs
+    return features, offsets, number, first, *word_grams(hashes, first)
 
 
 @dataclass
@@ -83,7 +102,7 @@ class Model:
     bias: float
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        features, offsets, number, first, pairs = _distinct(data, at)
+        features, offsets, number, first, grams, rows = _distinct(data, at)
         n = len(first) - 1
         if not len(number):
             return np.full(n, 1 / (1 + np.exp(-self.bias)))
@@ -93,8 +112,8 @@ class Model:
         total, count = np.zeros(n), np.ones(n)
         total[full] = np.add.reduceat(each[number], first[:-1][full])
         count[full] = np.add.reduceat(many[number], first[:-1][full])
-        total += (pairs * self.weight[BUCKETS:]).sum(1)
-        count += pairs.sum(1)
+        total += np.bincount(rows, self.weight[grams], n)
+        count += np.bincount(rows, minlength=n)
         return 1 / (1 + np.exp(-np.clip(total / count + self.bias, -500, 500)))
 
 
@@ -103,9 +122,9 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for text in texts:
         data = np.frombuffer((text or "").encode(), np.uint8)
-        features, offsets, number, _, pairs = _distinct(data, np.array([0, len(data)]))
+        features, offsets, number, _, grams, _ = _distinct(data, np.array([0, len(data)]))
         times = np.repeat(np.bincount(number, minlength=len(offsets) - 1), np.diff(offsets))
-        features, times = np.concatenate((features, BUCKETS + np.arange(PAIRS))), np.concatenate((times, pairs[0]))
+        features, times = np.concatenate((features, grams)), np.concatenate((times, np.ones(len(grams), np.int64)))
         bucket, inverse = np.unique(features, return_inverse=True)
         share = np.bincount(inverse, times, minlength=len(bucket)) / max(1, times.sum())
         out.append((bucket.astype(np.int32), share.astype(np.float32)))
@@ -115,9 +134,9 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """The same model for the same examples in the same order."""
     if not texts:
-        return Model(np.zeros(BUCKETS + PAIRS), 0.0)
+        return Model(np.zeros(BUCKETS), 0.0)
     rnd = np.random.default_rng(seed)
-    vectors = rnd.uniform(-1 / DIM, 1 / DIM, (BUCKETS + PAIRS, DIM))
+    vectors = rnd.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer, bias = np.zeros((2, DIM)), np.zeros(2)
     found, truth = bags(texts), np.array(labels)
     n, done = len(texts), 0
@@ -143,24 +162,33 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, rate
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Learns from at most `sample` labelled rows that are not held out."""
-    key = F.col("doc_id").cast("long").alias("_id")
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = usable.select(key, F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
-    # at most `sample` rows of two numbers
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    # at most `sample` texts, which meet in one task and never on the driver
-    learnt = rows.select("doc_id", "_label", "text").repartition(1).mapInArrow(_learn, "weight binary, bias double").first()
+    key = F.col("doc_id").cast("long")
+    usable = labels.where(key.isNotNull() & F.col(label).isin(0, 1) & ~held_out(key))
+    chosen = usable.select(key.alias("id"), F.col(label).cast("int").alias("truth")).orderBy(F.xxhash64("id"), "id", "truth").limit(sample)
+    # every label has a number, so that equal ones are several examples; at most `sample` rows of three numbers
+    chosen = chosen.withColumn("nth", F.monotonically_increasing_id())
+    rows = documents.select(key.alias("doc"), "text").join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    # copies of an id come down to one text before they meet
+    rows = rows.groupBy("id", "truth", "nth").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    # at most `sample` texts, which meet in one task and never on the driver, and SAMPLE_BYTES in its memory
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "truth").select("truth", "text")
+    learnt = rows.mapInArrow(_learn, "weight binary, bias double").first()
     return Model(np.frombuffer(learnt.weight, np.float64), learnt.bias) if learnt else train([], [])
 
 
 def _learn(batches):
-    rows = sorted((i, y, t or "") for batch in batches for i, y, t in zip(*(c.to_pylist() for c in batch.columns)))
-    model = train([t for _, _, t in rows], [y for _, y, _ in rows])
+    texts, truth, size = [], [], 0
+    for batch in batches:
+        for y, text in zip(*(c.to_pylist() for c in batch.columns)):
+            size += len(text.encode())
+            if size <= SAMPLE_BYTES or not texts:
+                texts.append(text), truth.append(y)
+    model = train(texts, truth)
     yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
 
 
