@@ -10,15 +10,19 @@ told apart by one more component that brings all to the same length; for a query
 Every vector is indexed under its most probable part. A part is split into blocks of about BLOCK
 vectors, so that no task holds more, however many equal vectors there are. A query goes to all
 blocks of its parts, and every vector there is scored exactly: products of the components in double
-precision, added in order. Equal scores go to the smaller id.
+precision, added in order. Equal scores go to the smaller id. A query that finds fewer than it could, as
+its parts hold too few, is asked again of all parts.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, nor do null ids. Rows that repeat an id count once.
+no part, nor do null ids. Equal rows count once. Of an id with different vectors all are candidates, and
+the nearest is its score; as a query it has the least of them in the order of arrays. An id is never
+its own neighbour.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -171,12 +175,22 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, k: int = 20) -> Router:
-    """vectors: vec_id and usable vectors of one length."""
-    count, longest = vectors.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    found = np.array([r.vector for r in sorted(rows, key=lambda r: r.vec_id)], np.float64).reshape(len(rows), len(rows[0].vector) if rows else 0)
-    return Router(found, min(MOST_PARTS, round(math.sqrt(count) / 4)), float(longest or 1), k)
+def fit(vectors: DataFrame, dim: int, sample: int = SAMPLE, k: int = 20) -> Router:
+    """vectors: vec_id and usable vectors of length dim. The sample meets in one task, and the driver gets
+    the fitted router only, some MOST_PARTS * HIDDEN numbers."""
+    longest = F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
+    count, longest = vectors.agg(F.count("*"), longest).first()
+    parts = min(MOST_PARTS, round(math.sqrt(count) / 4))
+
+    def learn(batches):
+        held = [(i, v) for batch in batches for i, v in zip(batch.column(0).to_pylist(), matrix(batch.column(1), dim))]
+        held.sort(key=lambda r: (r[0], r[1].tolist()))
+        router = Router(np.array([v for _, v in held]).reshape(len(held), dim), parts, float(longest or 1), k)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(router)], pa.binary())], ["router"])
+
+    rows = vectors.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(sample).repartition(1)
+    found = rows.mapInArrow(learn, "router binary").first()
+    return pickle.loads(found.router) if found else Router(np.zeros((0, dim)), 1, 1.0, k)
 
 
 def _routed(rows: DataFrame, router: Router, every: bool) -> DataFrame:
@@ -198,11 +212,16 @@ def _searched(k: int, dim: int):
         if queries.num_rows and vectors.num_rows:
             ids, own = np.array(vectors["vec_id"]), np.array(queries["vec_id"])
             inside, asked = matrix(vectors["vector"], dim), matrix(queries["vector"], dim)
+            order = np.argsort(ids, kind="stable")
+            ids, inside = ids[order], inside[order]
+            first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+            names = ids[first]
             for i in range(0, len(own), 128):
                 for q, row in zip(own[i : i + 128], exact_scores(asked[i : i + 128], inside)):
-                    other = ids != q
-                    at = best(ids[other], row[other], k)
-                    out[0].append(np.full(len(at), q)), out[1].append(ids[other][at]), out[2].append(row[other][at])
+                    row = np.maximum.reduceat(row, first)
+                    other = names != q
+                    at = best(names[other], row[other], k)
+                    out[0].append(np.full(len(at), q)), out[1].append(names[other][at]), out[2].append(row[other][at])
         a, b, c = (np.concatenate(x) if x else [] for x in out)
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
@@ -213,28 +232,51 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, sample: int =
     """query_id, rank, vec_id and score of the k nearest found of each query.
 
     embeddings: vec_id and embedding; is_query: a condition on vec_id."""
-    spark, scratch = embeddings.sparkSession, Scratch(embeddings.sparkSession, "neighbours")
+    scratch = Scratch(embeddings.sparkSession, "neighbours")
     rows = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).dropDuplicates(["vec_id"])
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).dropDuplicates()
     rows = scratch.keep(rows, "vectors")
     common = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = common.dim if common else 0
     rows = rows.where(F.size("vector") == dim)
-    router = fit(rows, sample, k)
+    router = fit(rows, dim, sample, k)
     router.dim = dim
     indexed = scratch.keep(_routed(rows, router, False).withColumn("part", F.element_at("parts", 1)).drop("parts"), "indexed")
-    asked = scratch.keep(_routed(rows.where(is_query), router, True).withColumn("part", F.explode("parts")).drop("parts"), "asked")
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = scratch.keep(_routed(queries, router, True), "asked")
+    found = scratch.keep(_ranked(_search(asked.withColumn("part", F.explode("parts")).drop("parts"), indexed, k, dim), k), "found")
+    # queries whose parts hold fewer others than there are are asked of the parts they left out
+    most = min(k, rows.select("vec_id").distinct().limit(k + 1).count() - 1)
+    many = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("many"))
+    short = asked.join(many, "vec_id", "left").where(F.coalesce("many", F.lit(0)) < most).drop("many")
+    short = scratch.keep(short, "short")
+    if short.isEmpty():
+        return found.select("query_id", "rank", "vec_id", "score")
+    every = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(router.parts - 1)))).drop("parts")
+    again = _ranked(_search(every, indexed, k, dim), k)
+    rest = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    return rest.unionByName(again).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(asked: DataFrame, indexed: DataFrame, k: int, dim: int) -> DataFrame:
+    """The k best of each query (vec_id, vector, part) in each block of the part."""
     # one row for each of MOST_PARTS parts
     sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = F.broadcast(sizes.join(asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups")), "part"))
-    pick = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    # equal ids and vectors are spread alike
+    pick = lambda n: F.pmod(F.xxhash64("vec_id", "vector"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(sizes, "part").select("part", pick(F.col("groups")).alias("group"), upto("blocks").alias("block"), "vec_id", "vector")
     right = indexed.join(sizes, "part").select("part", upto("groups").alias("group"), pick(F.col("blocks")).alias("block"), "vec_id", "vector")
     key = ["part", "group", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searched(k, dim), "query_id bigint, vec_id bigint, score double")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_searched(k, dim), "query_id bigint, vec_id bigint, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """Each id once, with its best score; the k first."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

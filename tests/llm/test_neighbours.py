@@ -74,3 +74,38 @@ def test_router_prunes_and_balances():
     near = np.argsort(-(rows @ rows.T), axis=1)[:, 1:17]
     sizes = np.bincount(nb.balanced_parts(near, 10), minlength=10)
     assert sizes.sum() == 2000 and sizes.min() >= 160 and sizes.max() <= 240
+
+
+def test_ids_with_different_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [0.0, 3.0]), (1, [0.0, 3.0]), (2, [0.0, 1.0]), (2, None), (5, [1.0, 1.0])] + [(7, [1.0, 0.5])] * 40
+    found = nb.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA), F.col("vec_id") % 5 == 0, k=3).collect()
+    assert sorted(map(tuple, found)) == [(0, 1, 1, 3.0), (0, 2, 2, 1.0), (0, 3, 5, 1.0), (5, 1, 1, 3.0), (5, 2, 7, 1.5), (5, 3, 0, 1.0)]
+
+
+def test_parts_with_too_few(spark, monkeypatch):
+    """Parts that hold fewer than k: what is missing is found in the others."""
+    monkeypatch.setattr(nb.Router, "tries", lambda self, vectors: self.order(self._rows(vectors, query=True), 1))
+    rnd = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rnd.normal(0, 1, (400, 4)).astype(np.float32))]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    k = 130
+    found = nb.nearest(frame, F.col("vec_id") % 50 == 0, k=k).collect()
+    assert {(r.query_id, r.rank) for r in found} == {(q, r) for q in range(0, 400, 50) for r in range(1, k + 1)}
+    assert len({(r.query_id, r.vec_id) for r in found}) == len(found)
+
+
+def test_recall_of_the_query(spark):
+    """The registered query's recall against brute force, which the contract wants at 0.9."""
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    ids, wide = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
+    found = {}
+    for r in nb.op9(spark, sf).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert sorted(found) == sorted(i for i in ids.tolist() if i % 20 == 0) and all(sorted(f) == list(range(1, 21)) for f in found.values())
+    hits = 0
+    for q, ranks in found.items():
+        scores = wide @ wide[ids == q][0]
+        scores[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -scores))][:20].tolist()) & set(ranks.values()))
+    assert hits >= 0.9 * 20 * len(found)
