@@ -49,10 +49,10 @@ from cairn.llm.shared import Scratch, join_counted
 from cairn.llm.words import U, between, mix, slices, sums, utf8, words
 
 #: Tokens of the shortest stretch that counts as repeated; tokens of a chunk; least main parts of a site.
-RUN, CHUNK, SITE = 8, 1 << 20, 4
+RUN, CHUNK, SITE = 8, 1 << 17, 4
 #: Words of a shingle, and least part of two pages' shingles in common that makes them near copies.
 SHINGLE, ALIKE = 5, "0.8"
-#: Hosts beyond CHUNK are broadcast up to this number, else joined in a shuffle.
+#: What is known of hosts (some numbers each) is broadcast up to this number of hosts, else joined in a shuffle.
 BROADCAST = 100_000
 _DROP = frozenset("head title script style noscript template nav header footer aside button select textarea iframe svg math canvas object embed video audio dialog menu map datalist".split())
 #: Names of classes and ids that hint at boilerplate, and those of them that hint at layout.
@@ -350,12 +350,9 @@ def _written(table: pa.Table, texts: list[str | None]) -> pa.Table:
     return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string())}).filter(kept)
 
 
-def _whole_host(run: int, array: bool):
+def _whole_host(run: int):
     def go(table: pa.Table) -> pa.Table:
         streams = _Streams(table, run)
-        none = np.zeros(0, np.int64)
-        if not array:
-            return _written(table, streams.texts(none, none, table))
         start, number = streams.repeats()
         lead, mains, low, high = streams.counted(start, number)
         size = np.diff(np.append(lead, len(start)))
@@ -432,31 +429,41 @@ def cleaned(streams: DataFrame, scratch: Scratch, run: int = RUN, chunk: int = C
     to read again; rows of one key are alike but for page_id and url) that aren't of kind BESIDE."""
     by_key = streams.groupBy("host", "key", "kind").agg(F.sum("size").alias("size"))
     chunks, salts = F.ceil(F.sum("size") / chunk).cast("int"), F.ceil(4 * F.max("size") / chunk).cast("int")
-    hosts = by_key.groupBy(F.col("host").alias("_host")).agg(chunks.alias("chunks"), salts.alias("salts"), F.sum((F.col("kind") == MAIN).cast("int")).alias("mains"))
-    large = scratch.keep(hosts.where("chunks > 1"), "large-hosts")
-    n_large = large.count()
-    dealt = streams.drop("size").join(F.broadcast(large) if n_large <= BROADCAST else large, F.col("host") == F.col("_host"), "left").drop("_host")
-    whole = dealt.where("chunks is null").groupBy("host").applyInArrow(_whole_host(run, array), _OUT)
-    if not n_large:
-        return whole
+    of_kind = lambda kind: F.sum((F.col("kind") == kind).cast("int"))
+    hosts = by_key.groupBy("host").agg(chunks.alias("chunks"), salts.alias("salts"), of_kind(MAIN).alias("mains"), of_kind(OPEN).alias("opened"))
+    # hosts left out have neither pages without a main part nor main parts enough for SITE, so nothing to cover
+    hosts = scratch.keep(hosts.where((F.col("opened") > 0) | (F.col("mains") >= SITE)), "hosts")
+    n_hosts = hosts.count()
+    joined = lambda rows, of, how: rows.join(F.broadcast(of) if n_hosts <= BROADCAST else of, "host", how)
+    dealt = joined(streams.drop("size"), hosts, "left").where((F.col("kind") != BESIDE) | (F.col("opened") > 0))
     # which chunk a copy is in matters to nothing but size
     salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts"))
-    dealt = dealt.where("chunks is not null").withColumn("chunk", F.pmod(F.xxhash64("key") + salt, F.col("chunks")).cast("int"))
+    at = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("key") + salt, F.col("chunks"))).otherwise(0).cast("int")
+    dealt = dealt.withColumn("chunk", at)
     by = ["host", "chunk"]
-    if not array:
-        return whole.union(dealt.groupBy(*by).applyInArrow(_whole_host(run, False), _OUT))
-    found = dealt.groupBy(*by).applyInArrow(_stretches(run), "host string, stretch bigint, candidate boolean, low bigint, high bigint")
+    plain = F.array_join(F.filter(F.transform(F.split("text", _BETWEEN), lambda t: F.trim(t)), lambda t: t != ""), "\n\n")
+    as_is = lambda rows: rows.where(F.col("kind") != BESIDE).select("page_id", "url", plain.alias("text"))
+    if not array or not n_hosts:
+        return as_is(dealt)
+    small = dealt.where("chunks = 1").groupBy("host").applyInArrow(_whole_host(run), _OUT)
+    out = as_is(dealt.where("chunks is null")).union(small)
+    large = dealt.where("chunks > 1")
+    found = large.groupBy(*by).applyInArrow(_stretches(run), "host string, stretch bigint, candidate boolean, low bigint, high bigint")
     found = scratch.keep(found, "stretches")
     several = found.where("not candidate").groupBy("host", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    every = large.select(F.col("_host").alias("host"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    candidates = found.where("candidate").select("host", "stretch").distinct().join(every, "host")
-    holders = dealt.groupBy(*by).cogroup(candidates.groupBy(*by)).applyInArrow(_holders(run), "host string, stretch bigint, key bigint")
-    have = holders.distinct().groupBy("host", "stretch").agg(F.count("*").alias("have"))
+    every = hosts.where("chunks > 1").select("host", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    candidates = scratch.keep(found.where("candidate").select("host", "stretch").distinct(), "candidates")
     share = F.greatest(F.lit(SITE), F.ceil(F.col("mains") / 2))
-    site = have.join(large, F.col("host") == F.col("_host")).where(F.col("have") >= share)
+    # only hosts with candidates, and then with stretches to cover, are dealt again
+    of = lambda rows: rows.select("host").distinct()
+    again = joined(large, of(candidates), "left_semi").groupBy(*by).cogroup(candidates.join(every, "host").groupBy(*by))
+    holders = again.applyInArrow(_holders(run), "host string, stretch bigint, key bigint")
+    have = holders.distinct().groupBy("host", "stretch").agg(F.count("*").alias("have"))
+    site = have.join(hosts, "host").where(F.col("have") >= share)
     known = several.select("host", "stretch", F.lit(False).alias("site")).union(site.select("host", "stretch", F.lit(True)))
-    known = scratch.keep(known, "known").join(every, "host")
-    return whole.union(dealt.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(_chunk(run), _OUT))
+    known = scratch.keep(known, "known")
+    marked = joined(large, of(known), "left_semi").groupBy(*by).cogroup(known.join(every, "host").groupBy(*by)).applyInArrow(_chunk(run), _OUT)
+    return out.union(as_is(joined(large, of(known), "left_anti"))).union(marked)
 
 
 _STREAMS = "page_id bigint, url string, host string, kind int, text string"
