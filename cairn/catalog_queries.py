@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,24 @@ def customers(spark: SparkSession, sf_dir: str) -> Snapshot:
     return _lazy(_catalog("customer", sf_dir, [graph], [View("name", {"id": "c_custkey", "name": "c_name"})], load), spark)
 
 
+def typed_orders(spark: SparkSession, sf_dir: str) -> Snapshot:
+    """Orders under fields of several types."""
+    thousands = lambda: F.floor(F.col("o_totalprice") / 1000).cast("decimal(12,2)")
+    fields = [simple("urgent", lambda: F.col("o_orderpriority") == "1-URGENT"), simple("year", lambda: F.year("o_orderdate")), simple("day", lambda: F.to_date("o_orderdate")), simple("thousands", thousands)]
+    graph = GraphIndex("by-fields", fields, [("urgent", "year"), ("day",), ("thousands", "urgent")])
+    return _lazy(_catalog("orders", sf_dir, [graph]), spark)
+
+
+def _typed(by_keys: bool, **conditions):
+    def run(s, d):
+        query = GraphQuery(typed_orders(s, d))
+        for name, values in conditions.items():
+            query = query.where(name).in_(values)
+        return query.execute(by_keys=by_keys).select("o_orderkey")
+
+    return run
+
+
 def _timestamp(text: str):
     from datetime import datetime
 
@@ -82,8 +103,8 @@ def _names(operator: str, value: str):
 
 
 def _graph_keys(s, d):
-    postings = orders_with_flags(s, d).postings("by-flag-date").where("array_contains(array('N', 'A', 'R'), key[0])")
-    return postings.groupBy(F.col("key")[0].alias("flag"), F.try_element_at("key", F.lit(2)).alias("d")).agg(F.count("*").alias("n"))
+    """How many orders have each key, of both hotpaths."""
+    return orders_with_flags(s, d).postings("by-flag-date").groupBy(F.array_join("key", " > ").alias("key")).agg(F.count("*").alias("n"))
 
 
 def _flags_in(s, d, by_keys: bool = False):
@@ -92,12 +113,25 @@ def _flags_in(s, d, by_keys: bool = False):
 
 
 def _hash_of_parts(s, d):
-    """The content hash of the same rows in another partitioning, and of the rows without one."""
+    """The content hash of rows, of the same rows in another partitioning, and of the rows without one."""
     rows = part(s, d).data
-    whole = content_hash(rows, ("p_partkey",))
-    again = content_hash(rows.repartition(7), ("p_partkey",))
-    less = content_hash(rows.where("p_partkey <> 1"), ("p_partkey",))
-    return s.createDataFrame([(whole == again, whole != less)], "same boolean, differs boolean")
+    hashes = [content_hash(r, ("p_partkey",)) for r in (rows, rows.repartition(7), rows.where("p_partkey <> 1"))]
+    return s.createDataFrame([tuple(hashes)], "hash string, again string, less string")
+
+
+def _info(s, d):
+    """What Catalog.info says of a loaded catalog."""
+    catalog = _catalog("orders", d, [EqualityIndex("by-status", "o_orderstatus"), EqualityIndex("by-priority", "o_orderpriority")], [View("summary", {"id": "o_orderkey"})], order_by=["o_orderkey"])
+    catalog.bootstrap(s)
+    info = catalog.info()
+    row = (info["catalog"], info["item_count"], info["estimated_size_bytes"], info["view_count"], ",".join(info["views"]), ",".join(sorted(i["name"] for i in info["indices"])))
+    return s.createDataFrame([row], "catalog string, item_count bigint, estimated_size_bytes bigint, view_count int, views string, indices string")
+
+
+def _words_of_big_parts(s, d):
+    """Parts that have a word of the largest parts' names, each once, looked up in bulk in a multi index."""
+    wanted = s.read.parquet(f"{d}/part.parquet").where("p_size = 50").select(F.explode(F.split("p_name", " ")).alias("key"))
+    return part(s, d).search_many("by-word", wanted.where("key <> 'widget'")).select("p_brand")
 
 
 def _hot_types(s, d):
@@ -118,6 +152,7 @@ QUERIES = {
     "search_unknown_index": lambda s, d: search(orders(s, d), "by-nothing", "P").select("o_orderkey"),
     "search_view": lambda s, d: search(orders(s, d), "by-status", "P", "summary"),
     "search_many": _hot_types,
+    "search_many_multi": _words_of_big_parts,
     "query_equal_to": lambda s, d: Query(part(s, d), "by-size").equal_to(7).select("p_partkey", "p_name"),
     "query_between": lambda s, d: Query(orders(s, d), "by-date").between(_timestamp("1997-01-01"), _timestamp("1997-03-31")).select("o_orderkey", "o_orderdate"),
     "query_greater_than": _sizes("greater_than", 45),
@@ -145,9 +180,15 @@ QUERIES = {
     "graph_query_in": _flags_in,
     "graph_query_by_keys": lambda s, d: _flags_in(s, d, by_keys=True),
     "graph_query_view": lambda s, d: GraphQuery(customers(s, d)).where("segment").eq("MACHINERY").and_("region").eq("ASIA").execute("name"),
-    "index_info": lambda s, d: orders(s, d).index_info().where("name <> 'by-day'").select("name", "unique_keys", "total_entries"),
-    "index_size_estimate": lambda s, d: orders(s, d).index_info().where("name = 'by-priority'").select("estimated_size_bytes"),
-    "catalog_info": lambda s, d: orders(s, d).data.agg(F.lit("orders").alias("catalog"), F.count("*").alias("item_count")),
+    "graph_query_boolean_int": _typed(False, urgent=[True], year=[1997, 1998.0, 1996.5, "1995"]),
+    "graph_query_boolean_int_by_keys": _typed(True, urgent=[True], year=[1997, 1998.0, 1996.5, "1995"]),
+    "graph_query_date": _typed(False, day=[date(1997, 6, 1), date(1998, 1, 15), "1996-01-01"]),
+    "graph_query_date_by_keys": _typed(True, day=[date(1997, 6, 1), date(1998, 1, 15), "1996-01-01"]),
+    "graph_query_decimal": _typed(False, thousands=[Decimal("150"), 151, Decimal("152.001")], urgent=[True, "false"]),
+    "graph_query_decimal_by_keys": _typed(True, thousands=[Decimal("150"), 151, Decimal("152.001")], urgent=[True, "false"]),
+    "index_info": lambda s, d: orders(s, d).index_info(),
+    "index_size_estimate": lambda s, d: part(s, d).index_info().select("name", "estimated_size_bytes"),
+    "catalog_info": _info,
     "content_hash": _hash_of_parts,
     "canonical_json": lambda s, d: to_json_rows(s.read.parquet(f"{d}/nation.parquet")),
     "event_dedup_latest": _events,
@@ -155,6 +196,31 @@ QUERIES = {
 
 _KEYS = "SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE"
 _IN = "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y/%m') IN ('1997/06', '1998/01') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag IN ('R', 'A'))"
+_URGENT = "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1997, 1998)"
+_DAYS = "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) IN (DATE '1997-06-01', DATE '1998-01-15')"
+_THOUSANDS = "SELECT o_orderkey FROM orders WHERE floor(o_totalprice / 1000) IN (150, 151) AND o_orderpriority = '1-URGENT'"
+_TEXT_BYTES = "40 + length(k)"
+_ORDER_KEYS = [("by-status", "o_orderstatus", _TEXT_BYTES), ("by-priority", "o_orderpriority", _TEXT_BYTES), ("by-date", "o_orderdate", "50"), ("by-day", "strftime(o_orderdate, '%Y-%m-%d')", _TEXT_BYTES)]
+_PART_KEYS = [("by-type", "part", "p_type", _TEXT_BYTES), ("by-size", "part", "p_size", "16"), ("by-name", "part", "p_name", _TEXT_BYTES), ("by-brand", "part", "p_brand", _TEXT_BYTES), ("by-word", "part", "unnest(string_split(p_name, ' '))", _TEXT_BYTES)]
+
+
+def _index(name: str, table: str, key: str, key_bytes: str) -> str:
+    """SQL for one index's statistics: a hash table of its keys and lists of its entries."""
+    buckets = "CAST(pow(2, ceil(log2(greatest(16, floor(count(*) / 0.75) + 1)))) AS BIGINT)"
+    return f"""SELECT '{name}' AS name, CAST(count(*) AS BIGINT) AS unique_keys, CAST(sum(n) AS BIGINT) AS total_entries,
+        CAST(48 + 8 * {buckets} + 72 * count(*) + sum({key_bytes}) + 8 * sum(n) AS BIGINT) AS estimated_size_bytes
+        FROM (SELECT k, count(*) AS n FROM (SELECT {key} AS k FROM {table}) GROUP BY k)"""
+
+
+def _hash(where: str) -> str:
+    """SQL for the content hash of parts: digests of rows, of chunks of these, and of what is left."""
+    fields = ["p_brand", "p_name", "p_partkey", "p_retailprice", "p_size", "p_type"]
+    text = "'{' || " + " || ',' || ".join(f"'\"{f}\":' || CAST(to_json({f}) AS VARCHAR)" for f in fields) + " || '}'"
+    digests = f"SELECT sha256({text}) AS line, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part WHERE {where}"
+    chunks = f"SELECT place // 10000 AS chunk, sha256(string_agg(line, chr(10) ORDER BY place)) AS line FROM ({digests}) GROUP BY 1"
+    return f"SELECT sha256(string_agg(line, chr(10) ORDER BY chunk)) FROM ({chunks})"
+
+
 SQL = {
     "search_eq": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'",
     "search_unknown_index": "SELECT o_orderkey FROM orders WHERE false",
@@ -186,20 +252,29 @@ SQL = {
     "graph_keys_fan_out_path": """
         WITH f AS (SELECT DISTINCT l_orderkey, l_returnflag AS flag FROM lineitem),
         p AS (SELECT o_orderkey, unnest([strftime(o_orderdate,'%Y'), strftime(o_orderdate,'%Y/%m'), strftime(o_orderdate,'%Y/%m/%d')]) AS d FROM orders)
-        SELECT flag, d, CAST(count(*) AS BIGINT) AS n FROM f JOIN p ON l_orderkey = o_orderkey GROUP BY ALL
-        UNION ALL SELECT flag, NULL, CAST(count(*) AS BIGINT) FROM f JOIN orders ON l_orderkey = o_orderkey GROUP BY flag""",
+        SELECT flag || ' > ' || d AS key, CAST(count(*) AS BIGINT) AS n FROM f JOIN p ON l_orderkey = o_orderkey GROUP BY 1
+        UNION ALL SELECT flag, CAST(count(*) AS BIGINT) FROM f JOIN orders ON l_orderkey = o_orderkey GROUP BY flag
+        UNION ALL SELECT d, CAST(count(*) AS BIGINT) FROM p GROUP BY d""",
     "graph_query_prefix": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
     "graph_query_drilldown": "SELECT o_orderkey FROM orders WHERE starts_with(strftime(o_orderdate, '%Y/%m/%d') || '/', '1997/06/') AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')",
     "graph_query_in": _IN,
     "graph_query_by_keys": _IN,
     "graph_query_view": "SELECT c_custkey AS id, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND c_mktsegment = 'MACHINERY'",
-    "index_info": """
-        SELECT 'by-status' AS name, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS unique_keys, CAST(count(o_orderstatus) AS BIGINT) AS total_entries FROM orders
-        UNION ALL SELECT 'by-priority', count(DISTINCT o_orderpriority), count(o_orderpriority) FROM orders
-        UNION ALL SELECT 'by-date', count(DISTINCT o_orderdate), count(o_orderdate) FROM orders""",
-    "index_size_estimate": "SELECT CAST(48 + 16*8 + count(*)*72 + sum(40 + length(k)) + sum(n)*8 AS BIGINT) AS estimated_size_bytes FROM (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1)",
-    "catalog_info": "SELECT 'orders' AS catalog, CAST(count(*) AS BIGINT) AS item_count FROM orders",
-    "content_hash": "SELECT true AS same, true AS differs",
+    "search_many_multi": """
+        WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS k FROM part WHERE p_size = 50)
+        SELECT p_brand FROM part WHERE EXISTS (SELECT 1 FROM w WHERE k <> 'widget' AND list_contains(string_split(p_name, ' '), k))""",
+    "graph_query_boolean_int": _URGENT,
+    "graph_query_boolean_int_by_keys": _URGENT,
+    "graph_query_date": _DAYS,
+    "graph_query_date_by_keys": _DAYS,
+    "graph_query_decimal": _THOUSANDS,
+    "graph_query_decimal_by_keys": _THOUSANDS,
+    "index_info": " UNION ALL ".join(_index(n, "orders", k, b) for n, k, b in _ORDER_KEYS),
+    "index_size_estimate": "SELECT name, estimated_size_bytes FROM (" + " UNION ALL ".join(_index(n, t, k, b) for n, t, k, b in _PART_KEYS) + ")",
+    "catalog_info": f"""SELECT 'orders' AS catalog, (SELECT CAST(count(*) AS BIGINT) FROM orders) AS item_count, CAST(sum(estimated_size_bytes) AS BIGINT) AS estimated_size_bytes,
+        CAST(1 AS INTEGER) AS view_count, 'summary' AS views, string_agg(name, ',' ORDER BY name) AS indices
+        FROM ({" UNION ALL ".join(_index(n, "orders", k, b) for n, k, b in _ORDER_KEYS[:2])})""",
+    "content_hash": f"SELECT ({_hash('true')}) AS hash, ({_hash('true')}) AS again, ({_hash('p_partkey <> 1')}) AS less",
     "canonical_json": """SELECT '{"n_name":' || to_json(n_name) || ',"n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
     "event_dedup_latest": "SELECT event_type AS catalog_name, max(event_id) AS version, md5(CAST(max(event_id) AS VARCHAR)) AS hash FROM events GROUP BY event_type",
 }

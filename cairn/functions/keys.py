@@ -72,8 +72,17 @@ def key_bytes(key: Column, kind: T.DataType) -> Column:
 
 
 def row_text(columns: Sequence[str]) -> Column:
-    """A row as JSON with its fields in order of name; null fields are left out of it."""
-    return F.to_json(F.struct(*sorted(columns)), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    """A row as JSON with its fields in order of name; null fields are left out of it. Times are in UTC,
+    whatever the session's zone."""
+    return F.to_json(F.struct(*sorted(columns)), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"})
+
+
+def fresh(columns: Sequence[str], name: str) -> str:
+    """The name, with underscores added where a table of these columns has it already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def all_of(predicates: Sequence[Column]) -> Column:

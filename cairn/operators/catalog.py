@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from cairn.errors import IndexKeyLimitExceeded
 from cairn.operators.indices import EqualityIndex, GraphIndex, Hook, View
 from cairn.operators.query import Compound, GraphQuery, Query, condition
-from cairn.operators.snapshot import Snapshot, content_hash
+from cairn.operators.snapshot import Snapshot, build_postings, content_hash
+from cairn.shared_folder import Pinned
 
 
 class Catalog:
@@ -20,13 +21,16 @@ class Catalog:
     snapshot that is replaced as a whole. Index names are unique over all kinds.
 
     order_by: columns that stand for the load order; they matter to ordered results and the hash.
-    materialize: how a new snapshot's rows are pinned before they are served, so that later changes
-    of the source don't show; by default they are persisted."""
+    materialize: how a new snapshot's rows are pinned before they are served, so that later changes of the
+    source don't show; by default they are written to the shared folder and read from there, and the
+    postings of multi and graph indices with them, sorted by key (unless build is False). The last `keep`
+    snapshots stay readable."""
 
     def __init__(
         self, name: str, load: Callable[[SparkSession], DataFrame] | None = None, data: DataFrame | None = None, indices: Sequence[EqualityIndex | GraphIndex] = (),
         views: Sequence[View] = (), hooks: Sequence[Hook | Callable] = (), order_by: Sequence[str] = (), refresh_every: timedelta | None = None,
         materialize: Callable[[DataFrame], DataFrame] | None = None, hashed: bool = True,
+        build: bool = True, keep: int = 3,
     ):
         if not name or not name.strip():
             raise ValueError("a catalog needs a name")
@@ -44,7 +48,8 @@ class Catalog:
         self.hooks = sorted((h if isinstance(h, Hook) else Hook(h) for h in hooks), key=lambda h: h.priority)
         self._materialize, self._hashed, self._lock, self._version = materialize, hashed, threading.RLock(), 0
         self._current: Snapshot | None = None
-        self._held: list[DataFrame] = []
+        self._build, self._keep = build, keep
+        self._held: list[Pinned] = []
 
     @property
     def static(self) -> bool:
@@ -66,41 +71,44 @@ class Catalog:
         with self._lock:
             return self._swap(self._data if self.static else self._load(spark))
 
-    def refresh(self, spark: SparkSession, data: DataFrame | None = None) -> Snapshot:
-        """Loads again, or takes data as the new rows."""
+    def refresh(self, spark: SparkSession, data: DataFrame | None = None, known_hash: str = "") -> Snapshot:
+        """Loads again, or takes data as the new rows; known_hash: their content hash, if it was checked."""
         with self._lock:
             if data is None and self.static:
                 raise RuntimeError(f"catalog {self.name} is static")
-            return self._swap(data if data is not None else self._load(spark))
+            return self._swap(data if data is not None else self._load(spark), known_hash if data is not None else "")
 
     def lazy(self, data: DataFrame) -> Snapshot:
         """A snapshot over rows that are neither pinned nor hashed: for one query over stored data,
         whose filter then reaches the scan."""
         return Snapshot(self.name, data, self.indices, self.views, 0, "", None, self.order_by)
 
-    def _swap(self, data: DataFrame) -> Snapshot:
+    def _swap(self, data: DataFrame, known_hash: str = "") -> Snapshot:
         if data is None:
             raise ValueError(f"catalog {self.name} loaded nothing")
-        rows = self._materialize(data) if self._materialize else data.persist()
+        pinned = Pinned(data.sparkSession, "catalog")
         try:
+            rows = self._materialize(data) if self._materialize else pinned.keep(data, "rows")
             for index in self.indices.values():
                 if isinstance(index, GraphIndex):
                     self._check_keys(rows, index)
             passed = rows
             for hook in self.hooks:
                 passed = hook.run(passed) or passed
-            hashed = content_hash(rows, self.order_by) if self._hashed else ""
-            if not self._hashed:
-                rows.count()
+            hashed = (known_hash or content_hash(rows, self.order_by)) if self._hashed else ""
+            built = {}
+            for index in self.indices.values():
+                if self._build and index.kind in ("multi", "graph"):
+                    built[index.name] = pinned.keep(build_postings(rows, index), f"postings-{len(built)}")
         except BaseException:
-            rows.unpersist()
+            pinned.drop()
             raise
         self._version += 1
-        self._current = Snapshot(self.name, rows, self.indices, self.views, self._version, hashed, datetime.now(timezone.utc), self.order_by)
-        # queries that began on the last snapshot may still run; the one before goes
-        self._held.append(rows)
-        while len(self._held) > 2:
-            self._held.pop(0).unpersist()
+        self._current = Snapshot(self.name, rows, self.indices, self.views, self._version, hashed, datetime.now(timezone.utc), self.order_by, built)
+        # queries that began on earlier snapshots may still run
+        self._held.append(pinned)
+        while len(self._held) > self._keep:
+            self._held.pop(0).drop()
         return self._current
 
     @staticmethod

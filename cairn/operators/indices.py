@@ -124,9 +124,10 @@ class GraphIndex:
     def traversal(self, name: str) -> Traversal:
         return next(t for t in self.traversals if t.name == name)
 
-    def keys(self) -> Column:
-        """Distinct composite keys over all hotpaths, each an array of text."""
-        return F.array_distinct(F.concat(*(composite_keys([self.traversal(f).values for f in fields]) for fields in self.hotpaths)))
+    def keys(self, fields: Sequence[str] | None = None) -> Column:
+        """Distinct composite keys over all hotpaths, or along some fields, each an array of text."""
+        paths = [fields] if fields else self.hotpaths
+        return F.array_distinct(F.concat(*(composite_keys([self.traversal(f).values for f in path]) for path in paths)))
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@ so that it reaches the scan."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.errors import IndexNotFound, UncoveredConditions, UnsupportedIndexOperation
-from cairn.functions.keys import all_of
+from cairn.functions.keys import all_of, fresh
 from cairn.operators.indices import GraphIndex
-from cairn.operators.snapshot import Snapshot
+from cairn.operators.snapshot import POSTING, ROW, Snapshot, graph_posting
 from cairn.plans.planner import plan
 
 _LITERALS = (
@@ -40,6 +41,24 @@ def _typed(value, kind: T.DataType):
     return True
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    """A literal as a key of a type; null if there is no such key, as of 1.5 among integers."""
+    same = F.lit(value).try_cast(kind)
+    return F.when(same == F.lit(value), same)
+
+
+def _graph_key(snapshot: Snapshot, index: GraphIndex, parts: Sequence) -> Column:
+    """Rows that have a composite key along one of the hotpaths. Parts are compared as the types that the
+    fields have, and a part of another kind finds nothing."""
+    found = F.lit(False)
+    for fields in {tuple(h[: len(parts)]) for h in index.hotpaths if len(h) >= len(parts)} if parts else ():
+        kinds = [snapshot.field_type(index, f) for f in fields]
+        if all(map(_typed, parts, kinds)):
+            key = F.array(*(_literal(v, k).cast("string") for v, k in zip(parts, kinds)))
+            found |= F.array_contains(index.keys(fields), key)
+    return found
+
+
 def condition(snapshot: Snapshot, name: str, operator: str, *values) -> Column:
     """The filter of one predicate. The checks come before any work: an empty text pattern finds
     nothing even before the index is looked at; then the index must exist and support the operator."""
@@ -52,7 +71,7 @@ def condition(snapshot: Snapshot, name: str, operator: str, *values) -> Column:
         if index is None:
             raise IndexNotFound(f"catalog {snapshot.catalog} has no index {name}")
         if index.kind == "graph":
-            return F.array_contains(index.keys(), F.array(*(F.lit(str(v)) for v in values[0])))
+            return _graph_key(snapshot, index, values[0])
         kind = snapshot.key_type(name)
         if index.kind == "multi":
             return F.array_contains(index.keys(), F.lit(values[0])) if _typed(values[0], kind.elementType) else F.lit(False)
@@ -81,6 +100,11 @@ def condition(snapshot: Snapshot, name: str, operator: str, *values) -> Column:
     }[operator](values[0])
 
 
+def _once(postings: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows of built postings, each once."""
+    return postings.dropDuplicates([ROW]).select(*columns)
+
+
 class _Operators:
     """The predicates, for queries of one and of several indices."""
 
@@ -125,10 +149,16 @@ class Query(_Operators):
     def _apply(self, operator, values, view: str | None = None, ordered: bool = False) -> DataFrame:
         index = self.snapshot.indices.get(self.name)
         where = condition(self.snapshot, self.name, operator, *values)
-        if operator == "equal_to" and index.kind == "multi":
+        built = self.snapshot.built.get(self.name) if operator == "equal_to" else None
+        columns = self.snapshot.data.columns
+        if built is not None and index.kind == "multi":
+            kind = built.schema[POSTING].dataType
+            rows = built.where(F.col(POSTING) == F.lit(values[0]) if _typed(values[0], kind) else F.lit(False)).select(*columns)
+        elif operator == "equal_to" and index.kind == "multi":
             # as many rows as the key has postings
             hits = F.filter(index.keys(), lambda x: x == F.lit(values[0]))
-            rows = self.snapshot.data.where(where).withColumn("_hit", F.explode(hits)).drop("_hit")
+            hit = fresh(columns, "_hit")
+            rows = self.snapshot.data.where(where).withColumn(hit, F.explode(hits)).drop(hit)
         else:
             rows = self.snapshot.data.where(where)
         if ordered:
@@ -210,18 +240,25 @@ class GraphQuery:
             return self.snapshot.project(self.snapshot.data.where(F.lit(False)), view)
         if found.uncovered:
             raise UncoveredConditions(f"no hotpath covers {', '.join(found.uncovered)}")
-        if by_keys:
-            wanted = F.array(*(F.array(*(F.lit(str(p)) for p in key)) for key in found.keys))
-            where = F.arrays_overlap(found.index.keys(), wanted)
-        else:
-            where = all_of([self._test(found.index.traversal(f), self.conditions[f]) for f in found.fields])
+        kinds = {f: self.snapshot.field_type(found.index, f) for f in found.fields}
+        if not by_keys:
+            where = all_of([self._test(found.index.traversal(f), kinds[f], self.conditions[f]) for f in found.fields])
+            return self.snapshot.project(self.snapshot.data.where(where), view)
+        wanted = [[(v, kinds[f]) for f, v in zip(found.fields, key)] for key in found.keys]
+        wanted = [F.array(*(_literal(v, k).cast("string") for v, k in key)) for key in wanted if all(_typed(v, k) for v, k in key)]
+        if not wanted:
+            return self.snapshot.project(self.snapshot.data.where(F.lit(False)), view)
+        built = self.snapshot.built.get(found.index.name)
+        if built is not None:
+            return self.snapshot.project(_once(built.where(F.col(POSTING).isin(*(graph_posting(found.fields, key) for key in wanted))), self.snapshot.data.columns), view)
+        where = F.arrays_overlap(found.index.keys(found.fields), F.array(*wanted))
         return self.snapshot.project(self.snapshot.data.where(where), view)
 
     @staticmethod
-    def _test(traversal, values) -> Column:
+    def _test(traversal, kind: T.DataType, values) -> Column:
+        wanted = [_literal(v, kind) for v in values if _typed(v, kind)]
+        if not wanted:
+            return F.lit(False)
         if traversal.plain is not None:
-            return traversal.plain.cast("string").isin([str(v) for v in values]) if not all(isinstance(v, str) for v in values) else traversal.plain.isin(values)
-        text = F.transform(traversal.values, lambda x: x.cast("string"))
-        if len(values) == 1:
-            return F.array_contains(text, str(values[0]))
-        return F.arrays_overlap(text, F.array(*(F.lit(str(v)) for v in values)))
+            return traversal.plain.isin(*wanted)
+        return F.exists(traversal.values, lambda x: x.isin(*wanted))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
-from datetime import datetime
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.functions import key_bytes, next_power_of_two, row_text
+from cairn.functions import fresh, key_bytes, next_power_of_two, row_text
 from cairn.operators.indices import EqualityIndex, GraphIndex, View, column
 
-#: Rows whose text is hashed together.
+#: Rows whose digests are hashed together.
 CHUNK = 10_000
+#: Columns of built postings beside those of the rows: the key, and a number of the row.
+POSTING, ROW = "__key", "__row"
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,14 @@ class Snapshot:
     hash: str
     created_at: datetime | None
     order_by: tuple[str, ...] = ()
+    #: Postings of multi and graph indices as tables sorted by key, where they were built.
+    built: Mapping[str, DataFrame] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, catalog: str, data: DataFrame, indices: Sequence[EqualityIndex | GraphIndex], views: Sequence[View] = (), order_by: Sequence[str] = (), version: int = 1, hashed: bool = False) -> Snapshot:
+        """A snapshot over rows as they are, with indices of its own, outside any catalog."""
+        order = tuple(order_by)
+        return cls(catalog, data, {i.name: i for i in indices}, {v.name: v for v in views}, version, content_hash(data, order) if hashed else "", datetime.now(timezone.utc), order)
 
     def has_index(self, name: str) -> bool:
         return name in self.indices
@@ -46,18 +56,25 @@ class Snapshot:
     def key_type(self, name: str) -> T.DataType:
         return self.data.select(self.indices[name].keys().alias("k")).schema["k"].dataType
 
-    def postings(self, name: str) -> DataFrame:
-        """The rows once for each key of an index, with the key as `key`."""
-        index = self.indices[name]
+    def field_type(self, index: GraphIndex, name: str) -> T.DataType:
+        """The type of a traversal's values."""
+        return self.data.select(index.traversal(name).values.alias("k")).schema["k"].dataType.elementType
+
+    def postings(self, name: str, key: str = "key") -> DataFrame:
+        """The rows once for each key of an index, with the key as the last column, called `key`, or with
+        underscores added if the rows have a column of this name."""
+        index, key = self.indices[name], fresh(self.data.columns, key)
         if index.kind in ("equality", "sorted"):
-            keyed = self.data.withColumn("key", index.keys())
-            return keyed if index.kind == "sorted" else keyed.where("key is not null")
-        return self.data.withColumn("key", F.explode(index.keys()))
+            keyed = self.data.withColumn(key, index.keys())
+            return keyed if index.kind == "sorted" else keyed.where(F.col(key).isNotNull())
+        return self.data.withColumn(key, F.explode(index.keys()))
 
     def grouped(self, name: str) -> DataFrame:
-        """An index as it is: each key with all its rows. For small catalogs, as a key's rows become one."""
+        """An index as it is: each key with all its rows. For small catalogs only, as a key's rows become one
+        value; `postings` says the same in rows of their own, at any size."""
         rows = self.postings(name)
-        return rows.groupBy("key").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "key"))).alias("rows"))
+        key = rows.columns[-1]
+        return rows.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct(*rows.columns[:-1])).alias("rows"))
 
     def index_info(self) -> DataFrame:
         """name, unique_keys, total_entries and estimated_size_bytes of each index. Sorted indices
@@ -66,7 +83,8 @@ class Snapshot:
         for name in self.indices:
             kind = self.key_type(name)
             inner = kind.elementType if self.indices[name].kind in ("multi", "graph") else kind
-            by_key = self.postings(name).groupBy("key").agg(F.count("*").alias("n"))
+            rows = self.postings(name)
+            by_key = rows.groupBy(F.col(rows.columns[-1]).alias("key")).agg(F.count("*").alias("n"))
             sized = by_key.agg(F.count("*").alias("u"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(key_bytes(F.col("key"), inner)), F.lit(0)).alias("keys"))
             buckets = next_power_of_two(F.greatest(F.lit(16), F.floor(F.col("u") / 0.75) + 1))
             size = F.lit(48) + 8 * buckets + 72 * F.col("u") + F.col("keys") + 8 * F.col("n")
@@ -77,42 +95,68 @@ class Snapshot:
         return out
 
     def search_many(self, name: str, keys: DataFrame) -> DataFrame:
-        """Rows whose key is among many, given as a column `key`: one semi join instead of many lookups."""
-        index = self.indices[name]
-        if index.kind in ("multi", "graph"):
-            keyed = self.data.withColumn("_key", F.explode(F.array_distinct(index.keys())))
-            found = keyed.join(keys.select(F.col("key").alias("_wanted")).distinct(), F.col("_key") == F.col("_wanted"))
-            # a row that several keys find comes once, told by the columns that order the catalog
-            return found.drop("_key", "_wanted").dropDuplicates(list(self.order_by) or None)
-        return self.data.withColumn("_key", index.keys()).join(keys.select(F.col("key").alias("_wanted")).distinct(), F.col("_key") == F.col("_wanted"), "left_semi").drop("_key")
+        """Rows whose key is among many, given as a column `key`: one semi join instead of many lookups.
+        Each row comes once, also where several of its keys are wanted, and equal rows stay several."""
+        index, columns = self.indices[name], self.data.columns
+        key, row, wanted = (fresh(columns, n) for n in ("_key", "_row", "_wanted"))
+        asked = keys.select(F.col("key").alias(wanted)).distinct()
+        if index.kind not in ("multi", "graph"):
+            return self.data.withColumn(key, index.keys()).join(asked, F.col(key) == F.col(wanted), "left_semi").drop(key)
+        keyed = self.data.withColumn(row, F.monotonically_increasing_id()).withColumn(key, F.explode(F.array_distinct(index.keys())))
+        return keyed.join(asked, F.col(key) == F.col(wanted), "left_semi").dropDuplicates([row]).select(*columns)
+
+
+def build_postings(data: DataFrame, index: EqualityIndex | GraphIndex) -> DataFrame:
+    """The rows once for each key of a multi or graph index, sorted by key, so that a scan reads a key's
+    rows only. To be written. Keys of a graph index are texts, with the fields that they are of."""
+    keys = index.keys()
+    if isinstance(index, GraphIndex):
+        paths = sorted({tuple(h[:n]) for h in index.hotpaths for n in range(1, len(h) + 1)})
+        keys = F.concat(*(_exact(index, fields) for fields in paths))
+    rows = data.withColumn(ROW, F.monotonically_increasing_id()).withColumn(POSTING, F.explode(keys))
+    return rows.repartitionByRange(POSTING).sortWithinPartitions(POSTING)
+
+
+def _exact(index: GraphIndex, fields: Sequence[str]) -> Column:
+    whole = F.filter(index.keys(fields), lambda key: F.size(key) == len(fields))
+    return F.transform(whole, lambda key: graph_posting(fields, key))
+
+
+def graph_posting(fields: Sequence[str], parts: Column) -> Column:
+    """A composite key (an array of texts) with its fields as one text, different for different ones."""
+    return F.to_json(F.concat(F.array(F.lit("\x1f".join(fields))), parts))
 
 
 def content_hash(rows: DataFrame, order_by: tuple[str, ...]) -> str:
-    """SHA-256 of the rows' texts in the order of order_by (ties by text).
+    """SHA-256 of the rows in the order of order_by (ties by text), the same in every partitioning, session
+    zone and run: of each row's text a digest; of each CHUNK of digests one of them joined by line feeds, and
+    so on until CHUNK or fewer are left, which are hashed in the same way.
 
-    Rows get their place from the size of the ranges before theirs; each chunk of places is hashed
-    by itself, so a task holds CHUNK texts, and the driver one line a chunk."""
+    Only keys and digests are shuffled. Rows get their place from the sizes of the ranges before theirs;
+    a task holds CHUNK digests, and the driver as many, and one number for each range."""
     text = row_text(rows.columns)
-    keys = [column(c) for c in order_by] or [text]
-    ranged = rows.select(*(k.alias(f"_k{i}") for i, k in enumerate(keys)), text.alias("_text")).repartitionByRange(*(f"_k{i}" for i in range(len(keys))), "_text")
-    ranged = ranged.sortWithinPartitions(*(f"_k{i}" for i in range(len(keys))), "_text").select("_text").persist()
+    keys = [column(c) for c in order_by]
+    names = [f"k{i}" for i in range(len(keys))]
+    lines = rows.select(*(k.alias(n) for n, k in zip(names, keys)), F.sha2(text, 256).alias("line"))
+    ranged = lines.repartitionByRange(*names, "line").sortWithinPartitions(*names, "line").select("line", F.spark_partition_id().alias("part")).persist()
     try:
-        counts = {r.p: r.n for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
-        start, starts = 0, []
-        for p in sorted(counts):
-            starts.append((p, start))
-            start += counts[p]
-        if not starts:
-            return _sha("")
-        offset = F.create_map(*(F.lit(x) for pair in starts for x in pair))[F.spark_partition_id()]
         # ids count up within a partition, in its order
         within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        placed = ranged.select(within.alias("w"), offset.alias("o"), "_text").select((F.col("w") + F.col("o")).alias("place"), "_text")
-        chunk = F.floor(F.col("place") / CHUNK)
-        # every text ends with a character that JSON escapes, so that texts can't run together
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "_text"))), lambda x: x["_text"]), "\x00")
-        lines = placed.groupBy(chunk.alias("c")).agg(F.sha2(joined, 256).alias("h"), F.count("*").alias("n")).orderBy("c").collect()
-        return _sha("".join(f"{r.h}:{r.n};" for r in lines))
+        sizes = ranged.groupBy("part").agg(F.count("*").alias("many")).collect()
+        if not sizes:
+            return _sha("")
+        start, starts = 0, []
+        for r in sorted(sizes, key=lambda r: r.part):
+            starts.append((r.part, start))
+            start += r.many
+        offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, start bigint"))
+        lines = ranged.withColumn("place", within).join(offsets, "part").select((F.col("place") + F.col("start")).alias("place"), "line")
+        while True:
+            joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+            lines = lines.groupBy(F.floor(F.col("place") / CHUNK).alias("place")).agg(F.sha2(joined, 256).alias("line"))
+            start = -(-start // CHUNK)
+            if start <= CHUNK:
+                return _sha("\n".join(r.line for r in lines.orderBy("place").collect()))
     finally:
         ranged.unpersist()
 
@@ -121,4 +165,3 @@ def _sha(text: str) -> str:
     import hashlib
 
     return hashlib.sha256(text.encode()).hexdigest()
-

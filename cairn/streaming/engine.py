@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import os
 import threading
 import time
@@ -185,7 +186,7 @@ class Engine:
             found = self.store.load(self.spark, catalog.name)
             if found is None:
                 return False
-            self._loaded(catalog, lambda c: c.refresh(self.spark, found.data))
+            self._loaded(catalog, lambda c: c.refresh(self.spark, found.data, found.hash))
             return True
         except Exception:
             log.warning("the stored snapshot of %s wasn't taken", catalog.name, exc_info=True)
@@ -244,7 +245,12 @@ class Engine:
             self.metrics.count("event_failed", catalog=name)
             log.warning("an event of %s led to no refresh", name, exc_info=True)
 
-    def _schedule(self, catalog: Catalog) -> None:
+    def _schedule(self, catalog: Catalog, due: float | None = None) -> None:
+        """Refreshes at a fixed rate: a late one doesn't put off those after it, and those that would have
+        begun meanwhile are left out."""
+        every, now = catalog.refresh_every.total_seconds(), time.monotonic()
+        due = now + every if due is None else due + every * max(1, math.ceil((now - due) / every))
+
         def go() -> None:
             if not self._running:
                 return
@@ -253,9 +259,9 @@ class Engine:
                     self.refresh_and_sync(catalog.name)
             except Exception:
                 log.warning("the scheduled refresh of %s failed", catalog.name, exc_info=True)
-            self._schedule(catalog)
+            self._schedule(catalog, due)
 
-        timer = threading.Timer(catalog.refresh_every.total_seconds(), go)
+        timer = threading.Timer(max(0.0, due - now), go)
         timer.daemon = True
         self._timers = [t for t in self._timers if t.is_alive()] + [timer]
         timer.start()

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
+import threading
 import time
 from collections.abc import Callable
 
+log = logging.getLogger(__name__)
+
 
 class SingleNode:
     """Always the leader."""
@@ -24,16 +28,33 @@ class SingleNode:
 
 class FileLease:
     """The node that holds a lease file leads; it must renew within `seconds`. For nodes that share a
-    folder. A holder counts itself out after two thirds of the lease, before others may take it."""
+    folder. A holder counts itself out after two thirds of the lease, before others may take it. Started,
+    it renews (or tries to take) the lease three times in each of its terms until it is stopped."""
 
     def __init__(self, path: str, node_id: str, seconds: float = 15, clock: Callable[[], float] = time.time):
         self.path, self.node_id, self.seconds, self.clock = path, node_id, seconds, clock
         self._until, self._led, self._listeners = 0.0, False, []
+        self._ended, self._lock = threading.Event(), threading.RLock()
 
     def start(self) -> None:
+        self._ended.clear()
         self.renew()
+        threading.Thread(target=self._keep, args=(self._ended,), name="lease", daemon=True).start()
+
+    def _keep(self, ended: threading.Event) -> None:
+        while not ended.wait(self.seconds / 3):
+            try:
+                self.renew()
+            except OSError:
+                log.warning("the lease %s wasn't renewed", self.path, exc_info=True)
 
     def stop(self) -> None:
+        self._ended.set()
+        self._ended = threading.Event()
+        with self._lock:
+            self._give_up()
+
+    def _give_up(self) -> None:
         if self.is_leader():
             os.remove(self.path)
         self._until = 0.0
@@ -46,6 +67,10 @@ class FileLease:
         return self.clock() < self._until
 
     def renew(self) -> bool:
+        with self._lock:
+            return self._renew()
+
+    def _renew(self) -> bool:
         now = self.clock()
         try:
             with open(self.path) as file:

@@ -115,13 +115,17 @@ class KafkaSync(_Streamed):
 class TableSync:
     """The last event of each catalog as a row of a table that is polled; a change of the hash is an
     event. Requests aren't kept. read returns the table; write takes one row and replaces its
-    catalog's."""
+    catalog's. While there is a listener the table is polled every so many seconds, the first time after
+    as many; an error of one poll doesn't end them."""
 
-    def __init__(self, spark: SparkSession, read: Callable[[], DataFrame], write: Callable[[RefreshEvent], None]):
-        self.spark, self.read, self.write, self.seen, self.listener = spark, read, write, {}, None
+    def __init__(self, spark: SparkSession, read: Callable[[], DataFrame], write: Callable[[RefreshEvent], None], every: float = 15):
+        if every <= 0:
+            raise ValueError("a table is polled every so many seconds")
+        self.spark, self.read, self.write, self.every, self.seen, self.listener = spark, read, write, every, {}, None
+        self._ended, self._lock = threading.Event(), threading.Lock()
 
     @classmethod
-    def folder(cls, spark: SparkSession, path: str) -> TableSync:
+    def folder(cls, spark: SparkSession, path: str, every: float = 15) -> TableSync:
         """A table of one file a catalog, replaced as a whole."""
         os.makedirs(path, exist_ok=True)
 
@@ -130,10 +134,10 @@ class TableSync:
                 json.dump({"value": event.to_json()}, file)
             os.replace(f"{path}/.{event.catalog_name}.new", f"{path}/{event.catalog_name}.json")
 
-        return cls(spark, lambda: parse_events(spark.read.schema("value string").json(path)), write)
+        return cls(spark, lambda: parse_events(spark.read.schema("value string").json(path)), write, every)
 
     @classmethod
-    def jdbc(cls, spark: SparkSession, url: str, table: str = "catalog_sync", **properties: str) -> TableSync:
+    def jdbc(cls, spark: SparkSession, url: str, table: str = "catalog_sync", every: float = 15, **properties: str) -> TableSync:
         """A table of a database, made if it isn't there. A row is updated, else inserted, else, when
         another node inserted it meanwhile, updated."""
         if not re.fullmatch(r"\w+(\.\w+)?", table):
@@ -177,7 +181,7 @@ class TableSync:
             run(f"SELECT catalog_name FROM {table} WHERE 1 = 0")
         except Exception:
             run(f"CREATE TABLE {table} (catalog_name VARCHAR(255) NOT NULL PRIMARY KEY, source_node_id VARCHAR(255), version BIGINT, hash VARCHAR(255), updated_at TIMESTAMP)")
-        return cls(spark, read, write)
+        return cls(spark, read, write, every)
 
     def publish(self, event: RefreshEvent) -> None:
         if event.kind != EVENT:
@@ -188,20 +192,32 @@ class TableSync:
             raise CatalogError("the event wasn't written") from e
 
     def subscribe(self, listener: Listener, malformed: Malformed | None = None) -> None:
-        self.listener = listener
+        self.stop()
+        self.listener, self._ended = listener, threading.Event()
+        threading.Thread(target=self._polls, args=(self._ended,), name="poll", daemon=True).start()
+
+    def _polls(self, ended: threading.Event) -> None:
+        while not ended.wait(self.every):
+            try:
+                self.poll()
+            except Exception:
+                if not ended.is_set():
+                    log.warning("the table wasn't polled", exc_info=True)
 
     def poll(self) -> int:
         """Passes on what changed since the last call; a row a catalog, however many events there were."""
-        changed = changes(self.read(), self.seen)
-        for event in changed:
-            self.seen[event.catalog_name] = event.hash
-            if self.listener:
-                self.listener(event)
-        return len(changed)
+        with self._lock:
+            changed = changes(self.read(), self.seen)
+            for event in changed:
+                self.seen[event.catalog_name] = event.hash
+                if listener := self.listener:
+                    listener(event)
+            return len(changed)
 
     drain = poll
 
     def stop(self) -> None:
+        self._ended.set()
         self.listener = None
 
 

@@ -34,23 +34,6 @@ def test_against_sql(spark, duck, name):
     assert rows(found.collect(), found.columns) == rows(want.fetchall(), want.columns)
 
 
-def test_keys_of_all_hotpaths(spark, duck):
-    """All keys of the graph index, of which graph_keys_fan_out_path shows those that begin with a flag."""
-    found = catalog_queries.orders_with_flags(spark, SF).postings("by-flag-date").groupBy("key").count()
-    dates = """SELECT [d], CAST(count(*) AS BIGINT) FROM (SELECT unnest([strftime(o_orderdate, '%Y'), strftime(o_orderdate, '%Y/%m'), strftime(o_orderdate, '%Y/%m/%d')]) AS d FROM orders) GROUP BY d"""
-    flags = f"SELECT CASE WHEN d IS NULL THEN [flag] ELSE [flag, d] END, n FROM ({entry.oracle_sql()['graph_keys_fan_out_path']})"
-    assert sorted((list(k), n) for k, n in found.collect()) == sorted(map(tuple, duck.sql(f"{flags} UNION ALL {dates}").fetchall()))
-
-
-def test_info_of_all_indices(spark, duck):
-    """All four indices and their sizes, of which index_info and index_size_estimate show some."""
-    keys = {"by-status": ("o_orderstatus", "40 + length(k)"), "by-priority": ("o_orderpriority", "40 + length(k)"), "by-date": ("o_orderdate", "50"), "by-day": ("strftime(o_orderdate, '%Y-%m-%d')", "40 + length(k)")}
-    buckets = "CAST(pow(2, ceil(log2(greatest(16, floor(count(*) / 0.75) + 1)))) AS BIGINT)"
-    parts = [f"SELECT '{name}', count(*), CAST(sum(n) AS BIGINT), CAST(48 + 8 * {buckets} + 72 * count(*) + sum({size}) + 8 * sum(n) AS BIGINT) FROM (SELECT {key} AS k, count(*) AS n FROM orders GROUP BY 1)" for name, (key, size) in keys.items()]
-    found = catalog_queries.orders(spark, SF).index_info().collect()
-    assert sorted(map(tuple, found)) == sorted(duck.sql(" UNION ALL ".join(parts)).fetchall())
-
-
 def test_entry(spark):
     assert entry.entry(spark).columns == ["p_partkey"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
