@@ -257,24 +257,45 @@ def common_prefixes(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], low))
 
 
+def _hashed(text) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a column of texts, one text after the other, and where each text's end."""
+    data, at = utf8(text)
+    found, ends, base = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+    for i, j in slices(at):
+        _, _, hashes, begin = words(data, at[i : j + 1])
+        found.append((hashes >> U(32)).astype(np.uint32))
+        ends.append(begin[1:] + base)
+        base += len(hashes)
+    return np.concatenate(found), np.concatenate(ends)
+
+
+def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    data, at = utf8(column)
+    return np.frombuffer(data[at[0] : at[-1]].tobytes(), np.uint32), (at - at[0]) // 4
+
+
+def _with_tokens(batches):
+    """Rows with the tokens of their text instead of it."""
+    for batch in batches:
+        tokens, ends = _hashed(batch.column("text"))
+        data, at = tokens.tobytes(), (4 * ends).tolist()
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())], [*names, "tokens"])
+
+
 class _Streams:
-    """The different streams of a table (key, kind, group, text) as one text of tokens, with the stretches
-    that repeat. Each stream ends with a token that no other has, so nothing reaches beyond its end."""
+    """The different streams of a table (key, kind, group and text or tokens) as one text of tokens, with
+    the stretches that repeat. A token is 32 bits of its word's hash, and a stretch has RUN of them. Each
+    stream ends with a token that no other has, so nothing reaches beyond its end."""
 
     def __init__(self, table: pa.Table, run: int):
         keys = np.array(table["key"], np.int64)
         self.lead, self.row = np.unique(keys, return_index=True, return_inverse=True)[1:]
         table = table.take(pa.array(self.lead))
         self.keys, self.kinds, self.groups = (np.array(table[c], np.int64) for c in ("key", "kind", "group"))
-        data, at = utf8(table["text"])
-        found, first, base = [], [np.zeros(1, np.int64)], 0
-        for i, j in slices(at):
-            _, _, hashes, begin = words(data, at[i : j + 1])
-            ends = mix(np.arange(i, j, dtype=U) + U(0xA5A5A5A500000001))
-            found.append(np.insert(hashes, begin[1:], ends))
-            first.append(begin[1:] + np.arange(1, j - i + 1) + base)
-            base += len(found[-1])
-        self.tokens, self.first = (np.concatenate(found) if found else np.zeros(0, U)), np.concatenate(first)
+        tokens, ends = _tokens(table["tokens"]) if "tokens" in table.column_names else _hashed(table["text"])
+        own = mix(np.arange(len(ends) - 1, dtype=U)) | U(1 << 63)
+        self.tokens, self.first = np.insert(tokens.astype(U), ends[1:], own), ends + np.arange(len(ends))
         self.owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         self.run = run
 
@@ -350,14 +371,17 @@ def _written(table: pa.Table, texts: list[str | None]) -> pa.Table:
     return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string())}).filter(kept)
 
 
-def _whole_host(run: int):
+def _known(run: int):
+    """The stretches of a whole host that cover what they cover, in main parts (site) or on other pages."""
+
     def go(table: pa.Table) -> pa.Table:
         streams = _Streams(table, run)
         start, number = streams.repeats()
         lead, mains, low, high = streams.counted(start, number)
-        size = np.diff(np.append(lead, len(start)))
-        site = np.repeat(mains >= site_share(int((streams.kinds == MAIN).sum())), size)
-        return _written(table, streams.texts(start[site], start[np.repeat(low < high, size)], table))
+        site, several = mains >= site_share(int((streams.kinds == MAIN).sum())), low < high
+        names = np.concatenate((streams.names(start[lead[site]]), streams.names(start[lead[several]])))
+        host = pa.array([table["host"][0].as_py()] * len(names), pa.string())
+        return pa.table({"host": host, "stretch": pa.array(names), "site": pa.array(np.arange(len(names)) < site.sum())})
 
     return go
 
@@ -445,25 +469,26 @@ def cleaned(streams: DataFrame, scratch: Scratch, run: int = RUN, chunk: int = C
     as_is = lambda rows: rows.where(F.col("kind") != BESIDE).select("page_id", "url", plain.alias("text"))
     if not array or not n_hosts:
         return as_is(dealt)
-    small = dealt.where("chunks = 1").groupBy("host").applyInArrow(_whole_host(run), _OUT)
-    out = as_is(dealt.where("chunks is null")).union(small)
+    # tokens are half of what texts are; texts are shuffled for hosts with something to cover only
+    columns, kinds = ["host", "chunk", "salts", "key", "kind", "group"], "host string, chunk int, salts int, key bigint, kind int, group bigint, tokens binary"
+    tokens = lambda rows: rows.select(*columns, "text").mapInArrow(_with_tokens, kinds)
+    known = tokens(dealt.where("chunks = 1")).groupBy("host").applyInArrow(_known(run), "host string, stretch bigint, site boolean")
     large = dealt.where("chunks > 1")
-    found = large.groupBy(*by).applyInArrow(_stretches(run), "host string, stretch bigint, candidate boolean, low bigint, high bigint")
+    found = tokens(large).groupBy(*by).applyInArrow(_stretches(run), "host string, stretch bigint, candidate boolean, low bigint, high bigint")
     found = scratch.keep(found, "stretches")
     several = found.where("not candidate").groupBy("host", "stretch").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    every = hosts.where("chunks > 1").select("host", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    every = hosts.select("host", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     candidates = scratch.keep(found.where("candidate").select("host", "stretch").distinct(), "candidates")
     share = F.greatest(F.lit(SITE), F.ceil(F.col("mains") / 2))
-    # only hosts with candidates, and then with stretches to cover, are dealt again
     of = lambda rows: rows.select("host").distinct()
-    again = joined(large, of(candidates), "left_semi").groupBy(*by).cogroup(candidates.join(every, "host").groupBy(*by))
+    again = tokens(joined(large, of(candidates), "left_semi")).groupBy(*by).cogroup(candidates.join(every, "host").groupBy(*by))
     holders = again.applyInArrow(_holders(run), "host string, stretch bigint, key bigint")
     have = holders.distinct().groupBy("host", "stretch").agg(F.count("*").alias("have"))
     site = have.join(hosts, "host").where(F.col("have") >= share)
-    known = several.select("host", "stretch", F.lit(False).alias("site")).union(site.select("host", "stretch", F.lit(True)))
+    known = known.union(several.select("host", "stretch", F.lit(False).alias("site"))).union(site.select("host", "stretch", F.lit(True)))
     known = scratch.keep(known, "known")
-    marked = joined(large, of(known), "left_semi").groupBy(*by).cogroup(known.join(every, "host").groupBy(*by)).applyInArrow(_chunk(run), _OUT)
-    return out.union(as_is(joined(large, of(known), "left_anti"))).union(marked)
+    marked = joined(dealt, of(known), "left_semi").groupBy(*by).cogroup(known.join(every, "host").groupBy(*by)).applyInArrow(_chunk(run), _OUT)
+    return as_is(joined(dealt, of(known), "left_anti")).union(marked)
 
 
 _STREAMS = "page_id bigint, url string, host string, kind int, text string"
