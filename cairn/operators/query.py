@@ -43,8 +43,11 @@ def _typed(value, kind: T.DataType):
 
 def _literal(value, kind: T.DataType) -> Column:
     """A literal as a key of a type; null if there is no such key, as of 1.5 among integers."""
-    same = F.lit(value).try_cast(kind)
-    return F.when(same == F.lit(value), same)
+    if isinstance(value, int) and value.bit_length() > 63:
+        value = Decimal(value) if abs(value) < 10**38 else None  # beyond any number type but double
+    given = F.lit(value)
+    same = given.try_cast(kind)
+    return F.when(same == given, same)
 
 
 def _graph_key(snapshot: Snapshot, index: GraphIndex, parts: Sequence) -> Column:

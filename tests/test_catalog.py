@@ -1,6 +1,8 @@
 import datetime as dt
 import random
+import shutil
 import threading
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from cairn.errors import IndexKeyLimitExceeded, IndexNotFound, UncoveredConditio
 from cairn.operators import Catalog, EqualityIndex, GraphIndex, Hook, MultiIndex, SortedIndex, View, many, path, simple
 from cairn.operators.catalog import search
 from cairn.operators.query import Compound, Query
-from cairn.operators.snapshot import content_hash
+from cairn.operators.snapshot import Snapshot, content_hash
 from cairn.plans import plan as planner
 
 SCHEMA = "id int, name string, size int, day date, tags array<string>, place struct<city:string>, path string, events array<struct<country:struct<code:string>>>"
@@ -337,3 +339,120 @@ def test_random_queries_against_a_list(spark):
         index, operator, values = parts[0]
         assert set(ids(getattr(Query(snapshot, index), operator)(*values))) == model.find(index, operator, *values)
     assert search(snapshot, "none", 1).count() == 0
+
+
+TYPED = "id int, yes boolean, small int, ratio double, price decimal(12,2), day date, name string, many array<int>"
+TYPED_ROWS = [
+    (1, True, 7, 1e7, Decimal("1.00"), dt.date(2026, 1, 1), "7", [1, 2]), (2, False, 7, 1.5, Decimal("1.50"), dt.date(2026, 1, 2), "true", [2]),
+    (3, None, None, None, None, None, None, None), (4, True, 8, -0.5, Decimal("100.00"), dt.date(2026, 1, 1), "1.0", [7]),
+]
+
+
+@pytest.mark.parametrize("built", [False, True])
+@pytest.mark.parametrize("by_keys", [False, True])
+def test_graph_keys_are_typed(spark, by_keys, built):
+    names = ["yes", "small", "ratio", "price", "day", "name"]
+    graph = GraphIndex("g", [simple(n, n) for n in names] + [many("each", "many")], [(n, "yes") for n in names[1:]] + [("yes",), ("each", "small")])
+    catalog = Catalog("t", data=spark.createDataFrame(TYPED_ROWS, TYPED), indices=[graph], order_by=["id"], build=built)
+    snapshot = catalog.bootstrap(spark)
+    assert bool(snapshot.built) == built
+
+    def go(**fields):
+        query = catalog.graph_query()
+        for name, values in fields.items():
+            query = query.where(name).in_(values)
+        return ids(query.execute(by_keys=by_keys))
+
+    assert go(yes=[True]) == [1, 4] and go(yes=["true"]) == [] == go(yes=[1])
+    assert go(small=[7]) == [1, 2] == go(small=[7.0]) and go(small=["07"]) == go(small=["7"]) == go(small=["x"]) == go(small=[7.5]) == go(small=[True]) == []
+    assert go(small=[10**30]) == [] and go(small=[10**30, 8]) == [4]
+    assert go(ratio=[1e7]) == [1] == go(ratio=[10_000_000]) and go(ratio=["1.0E7"]) == []
+    assert go(price=[Decimal("1")]) == [1] == go(price=[1]) and go(price=[Decimal("1.001")]) == []
+    assert go(day=[dt.date(2026, 1, 1)], yes=[True]) == [1, 4] and go(day=["2026-01-01"]) == []
+    assert go(name=["7", 7], yes=[True]) == [1] and go(name=[7]) == []
+    assert go(each=[2, "7"], small=[7]) == [1, 2] and go(each=[7]) == [4]
+
+
+def test_graph_key_as_a_conjunct_is_typed(spark):
+    graph = GraphIndex("g", [simple("small", "small"), simple("yes", "yes"), simple("name", "name")], [("small", "yes"), ("name",)])
+    snapshot = Snapshot.of("t", spark.createDataFrame(TYPED_ROWS, TYPED), [graph], order_by=["id"], hashed=True)
+    go = lambda *key: ids(Compound(snapshot).where("g").equal_to(key).execute())
+    assert go(7, True) == [1] and go(7) == [1, 2] and go("7") == [1] and go(7, "true") == [] == go("7", True) == go(7, True, 1) == go()
+    assert len(snapshot.hash) == 64 and snapshot.version == 1
+
+
+def test_search_many_loses_no_rows(spark):
+    rows = [(1, ["a", "b"], "x"), (2, ["b"], "x"), (2, ["b"], "x"), (3, None, "y"), (4, [None, "c"], "y")]
+    frame = spark.createDataFrame(rows, "id int, tags array<string>, _key string")
+    graph = GraphIndex("g", [many("tag", "tags"), simple("k", "_key")], [("tag", "k")])
+    for order in ([], ["id"], ["_key"]):
+        snapshot = Snapshot.of("t", frame, [MultiIndex("by-tag", "tags"), EqualityIndex("by-key", "_key"), graph], order_by=order)
+        found = snapshot.search_many("by-tag", spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "key string"))
+        assert ids(found) == [1, 2, 2] and found.columns == frame.columns
+        keys = spark.createDataFrame([(["b", "x"],), (["b"],), (["c"],)], "key array<string>")
+        assert ids(snapshot.search_many("g", keys)) == [1, 2, 2, 4]
+        assert ids(snapshot.search_many("by-key", spark.createDataFrame([("y",)], "key string"))) == [3, 4]
+
+
+def test_columns_named_as_ours(spark):
+    names = ["key", "_key", "_hit", "_row", "_wanted", "n"]
+    rows = [(1, ["a", "a"], *range(6)), (2, ["b"], *range(6))]
+    frame = spark.createDataFrame(rows, "id int, tags array<string>, " + ", ".join(f"{n} int" for n in names))
+    catalog = Catalog("t", data=frame, indices=[MultiIndex("by-tag", "tags"), SortedIndex("by-id", "id")], order_by=["id"])
+    catalog.bootstrap(spark)
+    for snapshot in (catalog.snapshot, catalog.lazy(frame)):
+        assert sorted(map(tuple, Query(snapshot, "by-tag").equal_to("a").collect())) == [tuple(rows[0])] * 2
+        assert sorted(map(tuple, snapshot.search_many("by-tag", spark.createDataFrame([("b",)], "key string")).collect())) == [rows[1]]
+        assert {(r.id, r.key, r.key_) for r in snapshot.postings("by-tag").collect()} == {(1, 0, "a"), (2, 0, "b")}
+        assert {r.key: len(r.rows) for r in snapshot.grouped("by-tag").collect()} == {"a": 2, "b": 1}
+        assert {r.name: r.total_entries for r in snapshot.index_info().collect()} == {"by-tag": 3, "by-id": 2}
+
+
+def test_hash_does_not_depend_on_the_zone(spark):
+    rows = spark.createDataFrame([(1, dt.datetime(2026, 3, 29, 1, 30)), (2, None)], "id int, t timestamp")
+    zone, found = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for name in ("UTC", "Asia/Tokyo", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            found.append(content_hash(rows, ("id",)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(set(found)) == 1
+
+
+def test_hash_in_several_levels(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr("cairn.operators.snapshot.CHUNK", 4)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for n in (1, 4, 5, 16, 17, 70):
+        lines = [sha(f'{{"id":{i}}}') for i in range(n)]
+        lines = [sha("\n".join(lines[i : i + 4])) for i in range(0, n, 4)]
+        while len(lines) > 4:
+            lines = [sha("\n".join(lines[i : i + 4])) for i in range(0, len(lines), 4)]
+        assert content_hash(spark.range(n).selectExpr("id").repartition(3), ("id",)) == sha("\n".join(lines))
+
+
+def test_snapshots_hold_when_the_source_changes(spark, tmp_path):
+    path = f"{tmp_path}/source"
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(path)
+    found = Catalog("fruit", load=lambda s: s.read.parquet(path), indices=INDICES, order_by=["id"], keep=2)
+    first = found.bootstrap(spark)
+    shutil.rmtree(path)
+    assert ids(first.data) == [1, 2, 3, 4, 5, 6] and content_hash(first.data, ("id",)) == first.hash
+    assert ids(found.search("by-tag", "a")) == [1, 1] and ids(found.query("by-size").equal_to(20)) == [2, 3]
+    spark.createDataFrame(ROWS[:1], SCHEMA).write.parquet(path)
+    found.refresh(spark)
+    assert ids(first.data) == [1, 2, 3, 4, 5, 6] and ids(found.snapshot.data) == [1]
+    found.refresh(spark)
+    with pytest.raises(Exception):
+        first.data.count()
+
+
+def test_built_postings_are_scanned_by_key(spark):
+    found = Catalog("fruit", data=spark.createDataFrame(ROWS, SCHEMA), indices=INDICES, order_by=["id"])
+    found.bootstrap(spark)
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(__key,a)" in plan(found.search("by-tag", "a"))
+    query = found.graph_query().where("country").in_(["AR", "CL"])
+    assert "PushedFilters: [In(__key" in plan(query.execute(by_keys=True)).replace("IsNotNull(__key), ", "") and ids(query.execute(by_keys=True)) == [1, 2, 6]

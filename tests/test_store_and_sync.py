@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -412,3 +413,65 @@ def test_streaming_events_reach_an_engine(spark, tmp_path):
     assert names(engine) == ["a", "b"]
     assert spark.range(1).select(F.lit(1)).count() == 1
     engine.stop()
+
+
+def test_a_polled_table_reaches_an_engine(spark, tmp_path):
+    """Nothing calls poll(): the transport does by itself, also after a poll that failed."""
+    source, sync = Source("a"), TableSync.folder(spark, f"{tmp_path}/t", every=0.3)
+    read, fails = sync.read, [1]
+    sync.read = lambda: read() if not fails or fails.pop() > 1 else 1 / 0
+    engine = Engine(spark, None, sync, retry=FAST, node_id="n").register(catalog(source)).start()
+    source.names.append("b")
+    sync.publish(event(hashed="x"))
+    deadline = time.monotonic() + 60
+    while names(engine) != ["a", "b"] and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert names(engine) == ["a", "b"] and not fails
+    engine.stop()
+    assert sync.listener is None
+    with pytest.raises(ValueError):
+        TableSync.folder(spark, f"{tmp_path}/t", every=0)
+
+
+def test_a_leader_goes_on_leading(tmp_path):
+    one, two = (FileLease(f"{tmp_path}/lease", n, 0.6) for n in ("one", "two"))
+    one.start(), two.start()
+    deadline = time.monotonic() + 1.8
+    led = []
+    while time.monotonic() < deadline:
+        led.append((one.is_leader(), two.is_leader()))
+        time.sleep(0.05)
+    assert not any(b for _, b in led) and sum(a for a, _ in led) > 0.8 * len(led)
+    one.stop()
+    deadline = time.monotonic() + 5
+    while not two.is_leader() and time.monotonic() < deadline:
+        time.sleep(0.05)
+    assert two.is_leader() and not one.is_leader()
+    two.stop()
+
+
+def test_refreshes_keep_their_rate(spark, monkeypatch):
+    """A refresh that takes most of the period doesn't put off the next one."""
+    began = []
+
+    def slow(s):
+        began.append(time.monotonic())
+        time.sleep(0.35 if len(began) > 1 else 0)
+        return s.createDataFrame([(0, "a")], "id int, name string")
+
+    monkeypatch.setattr(Engine, "refresh_and_sync", lambda self, name: slow(self.spark))
+    engine = Engine(spark, retry=FAST).register(catalog(slow, refresh_every=dt.timedelta(milliseconds=500))).start()
+    time.sleep(3.3)
+    engine.stop()
+    steps = [b - a for a, b in zip(began[1:], began[2:])]
+    assert len(steps) >= 3 and sum(steps) / len(steps) < 0.65
+
+
+def test_restored_rows_are_hashed_once(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(f"file://{tmp_path}")
+    first = catalog(Source("a", "b")).bootstrap(spark)
+    store.save(spark, first)
+    found = store.load(spark, "c")
+    monkeypatch.setattr("cairn.operators.catalog.content_hash", lambda *a: 1 / 0)
+    again = catalog(Source("never"))
+    assert again.refresh(spark, found.data, found.hash).hash == first.hash and again.snapshot.data.count() == 2
