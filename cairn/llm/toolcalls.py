@@ -5,8 +5,10 @@ needs) or a result (call_id, result text). Calls and results of a conversation m
 (conv_id, call_id). The topological order is that of turns (then ids) wherever each call waits only
 for calls of earlier turns, as in any chat that was led in order. Only conversations in which some
 call waits for one of its own turn or later are ordered by levels: a call's level is one more than
-the highest it waits for, found in rounds of joins until nothing changes, so that no conversation is
-ever collected; a level is ordered by turn and id. Calls in a cycle or behind one get no place.
+the highest it waits for. Such a conversation of at most TOGETHER calls is levelled in one task, a longer
+one in rounds of joins over the waits that are left, until nothing changes; a level is ordered by turn and
+id. Calls in a cycle or behind one get no place. Calls are numbered by ranges of their order, so that no
+conversation is ever collected, however long it is.
 
 Defined results: a call without a result is 'unanswered', a result without a call 'orphan', a second
 call or result of an id 'repeated' (the first by turn, then by text, is the one linked), a result
@@ -14,10 +16,12 @@ before its call 'early'. Ids in `after` that are null, unknown or the call's own
 Arguments that aren't a JSON object are 'not an object'; else the first fault in order of the
 schema's fields is named, at any depth; tools without a schema are 'unknown tool'. Schemas are JSON
 Schema without conditions, patternProperties, prefixItems, contains and references to other files:
-_KEYWORDS are known, others raise an error. An integer is one that is written as such (not 1.0),
-choices and bounds of numbers go by value, patterns are Python's, formats aren't looked at. What is nested beyond Python's stack, some hundreds
+_KEYWORDS are known, others raise an error. Numbers go by value everywhere: 1.0 is an integer and equals 1;
+patterns are Python's, formats aren't looked at. What is nested beyond Python's stack, some hundreds
 of levels, is 'nested too deeply', and not written if even its JSON is. Null conv_id and call_id are
-dropped from links, as nothing can name them. Numbers keep their spelling in canonical JSON.
+dropped from links, as nothing can name them. In canonical JSON equal numbers are written alike, with all
+their digits and none too many, with an exponent from 1e21 on and below 1e-6; a surrogate without its
+partner, which no text can hold, is escaped.
 """
 
 from __future__ import annotations
@@ -28,10 +32,11 @@ from decimal import Decimal
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import Scratch
+from cairn.llm.shared import Scratch, tasks_for
 
 _KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 #: What schemas may say. The first line is what `fault` looks at, the second says nothing about a value.
@@ -39,6 +44,10 @@ _KEYWORDS = frozenset("type enum const required properties additionalProperties
 _KEYWORDS |= frozenset("$schema $comment $defs definitions title description default examples deprecated readOnly writeOnly format".split())
 
 
+#: Calls of a tangled conversation that one task orders.
+TOGETHER = 10_000
+
+
 class _Number(str):
     """A number as it was written."""
 
@@ -49,12 +58,36 @@ def canonical(value) -> str:
         return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value)) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
-    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+    return _plain(value) if isinstance(value, _Number) else _whole(json.dumps(value, ensure_ascii=False))
+
+
+def _whole(text: str) -> str:
+    """The text with surrogates that have no partner written as escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _plain(number) -> str:
+    """The one spelling of a number's value."""
+    sign, size, digits = _exact(number)
+    if not sign:
+        return "0"
+    if len(digits) <= size <= 21:
+        text = digits.ljust(size, "0")
+    elif 0 < size <= 21:
+        text = f"{digits[:size]}.{digits[size:]}"
+    elif -6 < size <= 0:
+        text = "0." + "0" * -size + digits
+    else:
+        text = digits[0] + (f".{digits[1:]}" if len(digits) > 1 else "") + f"e{size - 1:+d}"
+    return "-" * (sign < 0) + text
 
 
 def _fits(value, kind: str) -> bool:
     if kind in ("number", "integer"):
-        return isinstance(value, _Number) and (kind == "number" or not set(value) & set(".eE"))
+        if kind == "number" or not isinstance(value, _Number):
+            return isinstance(value, _Number)
+        _, size, digits = _exact(value)
+        return len(digits) <= size or not digits
     return isinstance(value, _KINDS[kind]) and not isinstance(value, _Number)
 
 
@@ -236,7 +269,8 @@ def checked(text: str | None, schema: dict | None) -> tuple[str | None, str | No
     text = None
     try:
         text = canonical(value)
-        return text, "unknown tool" if schema is None else fault(value, schema)
+        wrong = "unknown tool" if schema is None else fault(value, schema)
+        return text, wrong and _whole(wrong)
     except RecursionError:
         return text, "nested too deeply"
 
@@ -261,29 +295,84 @@ def link(messages: DataFrame, key: str = "call_id") -> DataFrame:
 
 def ordered(calls: DataFrame, scratch: Scratch, key: str = "call_id") -> DataFrame:
     """conv_id, call_id and place of calls (conv_id, call_id, turn, after; one row an id)."""
-    nodes = calls.select("conv_id", key, "turn")
+    nodes = scratch.keep(calls.select("conv_id", key, "turn"), "nodes")
     waits = calls.select("conv_id", key, "turn", F.explode("after").alias("_on")).where(F.col("_on") != F.col(key)).distinct()
     waits = waits.join(nodes.select("conv_id", F.col(key).alias("_on"), F.col("turn").alias("_turn")), ["conv_id", "_on"])
     waits = scratch.keep(waits, "waits")
     tangled = scratch.keep(waits.where("not (_turn < turn) or turn is null or _turn is null").select("conv_id").distinct(), "tangled")
-    waits = scratch.keep(waits.join(tangled, "conv_id", "left_semi").select("conv_id", key, "_on"), "tangled-waits")
-    nodes = scratch.keep(nodes.join(tangled.withColumn("_tangled", F.lit(True)), "conv_id", "left"), "nodes")
-    placed = nodes.where("_tangled").select("conv_id", key).join(waits, ["conv_id", key], "left_anti").withColumn("level", F.lit(0))
-    placed = scratch.keep(placed, "level-0")
-    many, level = waits.groupBy("conv_id", key).agg(F.count("*").alias("many")), 0
-    while True:
+    waits = waits.select("conv_id", key, "_on")
+    # one row for each tangled conversation
+    tangled = scratch.keep(nodes.join(tangled, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("_calls")), "tangled-sizes")
+    short, long = tangled.where(F.col("_calls") <= TOGETHER).select("conv_id"), tangled.where(F.col("_calls") > TOGETHER).select("conv_id")
+    levels = scratch.keep(_levels_together(nodes.join(short, "conv_id", "left_semi"), waits.join(short, "conv_id", "left_semi"), key), "levels-short")
+    levels = levels.union(_levels_in_rounds(nodes.join(long, "conv_id", "left_semi"), waits.join(long, "conv_id", "left_semi"), scratch, key))
+    out = nodes.join(tangled, "conv_id", "left").join(levels, ["conv_id", key], "left")
+    stuck = F.col("_calls").isNotNull() & F.col("level").isNull()
+    return _numbered(out.withColumn("_stuck", stuck), scratch, key)
+
+
+def _levels_together(nodes: DataFrame, waits: DataFrame, key: str) -> DataFrame:
+    """conv_id, key and level; each conversation in one task, which holds TOGETHER calls and their waits."""
+    after = waits.groupBy("conv_id", key).agg(F.collect_list("_on").alias("_after"))
+    calls = nodes.select("conv_id", key).join(after, ["conv_id", key], "left")
+    kinds = dict(calls.dtypes)
+
+    def level(table: pa.Table) -> pa.Table:
+        names = table[key].to_pylist()
+        left, level_of, behind = {}, {}, {}
+        for name, on in zip(names, table["_after"].to_pylist()):
+            left[name] = len(on or ())
+            for a in on or ():
+                behind.setdefault(a, []).append(name)
+        ready = [n for n in names if not left[n]]
+        level_of.update(dict.fromkeys(ready, 0))
+        for name in ready:
+            for other in behind.get(name, ()):
+                left[other] -= 1
+                if not left[other]:
+                    # the last of those it waits for to be placed is the highest, as levels are placed in order
+                    level_of[other] = level_of[name] + 1
+                    ready.append(other)
+        found = pa.array([n in level_of for n in names], pa.bool_())
+        out = pa.table({"conv_id": table["conv_id"], key: table[key]}).filter(found)
+        return out.append_column("level", pa.array([level_of[n] for n in names if n in level_of], pa.int32()))
+
+    return calls.groupBy("conv_id").applyInArrow(level, f"conv_id {kinds['conv_id']}, {key} {kinds[key]}, level int")
+
+
+def _levels_in_rounds(nodes: DataFrame, waits: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """The same by joins: each round places the calls that wait for nothing any more, and drops what waits
+    for them. Rounds read the waits that are left and the calls placed last, not all before them."""
+    waits = scratch.keep(waits, "waits-0")
+    placed = last = scratch.keep(nodes.select("conv_id", key).join(waits, ["conv_id", key], "left_anti").withColumn("level", F.lit(0)), "level-0")
+    level = 0
+    while not last.isEmpty():
         level += 1
-        # a call is ready once as many of the ids it waits for are placed as there are
-        met = waits.join(placed.select("conv_id", F.col(key).alias("_on")), ["conv_id", "_on"]).groupBy("conv_id", key).agg(F.count("*").alias("met"))
-        ready = met.join(many, ["conv_id", key]).where("met = many").select("conv_id", key)
-        ready = scratch.keep(ready.join(placed, ["conv_id", key], "left_anti").withColumn("level", F.lit(level)), f"level-{level}")
-        if ready.isEmpty():
-            break
-        placed = placed.union(ready)
-    out = nodes.join(placed, ["conv_id", key], "left")
-    stuck = F.col("_tangled").isNotNull() & F.col("level").isNull()
-    place = F.row_number().over(Window.partitionBy("conv_id", stuck).orderBy("level", "turn", key))
-    return out.select("conv_id", key, F.when(~stuck, place).alias("place"))
+        left = scratch.keep(waits.join(last.select("conv_id", F.col(key).alias("_on")), ["conv_id", "_on"], "left_anti").select("conv_id", key, "_on"), f"waits-{level}")
+        free = waits.join(last.select("conv_id", F.col(key).alias("_on")), ["conv_id", "_on"], "left_semi").select("conv_id", key).distinct()
+        last = scratch.keep(free.join(left, ["conv_id", key], "left_anti").withColumn("level", F.lit(level)), f"level-{level}")
+        placed = placed.union(last)
+        scratch.drop(f"waits-{level - 1}")
+        waits = left
+    return placed
+
+
+def _numbered(calls: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """conv_id, key and place: calls are sorted by ranges, and one's place is its place in the range and the
+    number of its conversation's calls in ranges before; stuck calls have none."""
+    order = ["conv_id", "level", "turn", key]
+    parts = tasks_for(calls.sparkSession, calls, 1 << 22)
+    free = calls.where(~F.col("_stuck")).select(*order)
+    ranged = free.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    ranged = scratch.keep(ranged, "ranged")
+    before = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each conversation and range that it is in
+    counts = ranged.groupBy("conv_id", "_part").agg(F.count("*").alias("_many"))
+    starts = counts.select("conv_id", "_part", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "_part").orderBy(*order[1:]))
+    placed = ranged.withColumn("_inside", inside).join(starts, ["conv_id", "_part"])
+    placed = placed.select("conv_id", key, (F.col("_start") + F.col("_inside")).cast("int").alias("place"))
+    return placed.union(calls.where("_stuck").select("conv_id", key, F.lit(None).cast("int")))
 
 
 def written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -25,11 +25,14 @@ def test_canonical_json(value):
         ("[1]", {}, (None, "not an object")),
         ("{bad", {}, (None, "not an object")),
         ('{"a": NaN}', {}, (None, "not an object")),
-        ('{"b": 1.50, "a": 1e3}', {}, ('{"a":1e3,"b":1.50}', None)),
+        ('{"b": 1.50, "a": 1e3}', {}, ('{"a":1000,"b":1.5}', None)),
         ("{}", None, ("{}", "unknown tool")),
         ("{}", tc.SCHEMAS["lookup"], ("{}", "missing query")),
         ('{"query": 5}', tc.SCHEMAS["lookup"], ('{"query":5}', "query is not string")),
-        ('{"query": "x", "limit": 1.0}', tc.SCHEMAS["lookup"], ('{"limit":1.0,"query":"x"}', "limit is not integer")),
+        ('{"query": "x", "limit": 1.0}', tc.SCHEMAS["lookup"], ('{"limit":1,"query":"x"}', None)),
+        ('{"query": "x", "limit": 1.5}', tc.SCHEMAS["lookup"], ('{"limit":1.5,"query":"x"}', "limit is not integer")),
+        ('{"a": "\\ud800", "b": "\\ud83d\\ude00"}', {}, ('{"a":"\\ud800","b":"😀"}', None)),
+        ('{"query": "x", "\\udc00": 1}', tc.SCHEMAS["lookup"], ('{"query":"x","\\udc00":1}', "unknown \\udc00")),
         ('{"query": "x", "z": true}', tc.SCHEMAS["lookup"], ('{"query":"x","z":true}', "unknown z")),
         ('{"words": 2, "tone": "cold"}', tc.SCHEMAS["answer"], ('{"tone":"cold","words":2}', "tone is none of the choices")),
         ("[" * 100_000, {}, (None, "not an object")),
@@ -40,6 +43,19 @@ def test_checked(text, schema, want):
     assert tc.checked(text, schema) == want
 
 
+@pytest.mark.parametrize(
+    "spellings,want",
+    [
+        (["1", "1.0", "1.00", "1e0", "10E-1", "0.1e1"], "1"), (["0", "-0", "0.0", "0e9"], "0"), (["-1.50", "-15e-1"], "-1.5"), (["1e20"], "100000000000000000000"),
+        (["1e21", "1000000000000000000000.0"], "1e+21"), (["0.000001"], "0.000001"), (["0.0000001", "1e-7"], "1e-7"), (["123.456e30"], "1.23456e+32"),
+        (["123456789012345678901234567890"], "1.2345678901234567890123456789e+29"), (["12.50", "125e-1"], "12.5"),
+    ],
+)
+def test_numbers_have_one_spelling(spellings, want):
+    assert {tc.checked(f'{{"a": {s}}}', {})[0] for s in spellings} == {f'{{"a":{want}}}'}
+    assert float(want) == float(spellings[0])
+
+
 NESTED = {
     "$defs": {"tree": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/tree"}}}, "additionalProperties": False}},
     "properties": {
@@ -103,8 +119,10 @@ def plain_order(calls):
     return {c: i + 1 for i, c in enumerate(order)}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_order_against_loops(spark, seed):
+@pytest.mark.parametrize("seed,together", [(1, 10_000), (2, 3)])
+def test_order_against_loops(spark, monkeypatch, seed, together):
+    """Tangled conversations in a task, and longer ones in rounds."""
+    monkeypatch.setattr(tc, "TOGETHER", together)
     rnd = random.Random(seed)
     rows, want = [], set()
     for conv in range(25):
@@ -140,6 +158,14 @@ def test_tangled_order_of_the_whole_table(spark):
     assert len(tangled) > 20 and any(place is None for _, _, place in want)
 
 
+def test_one_long_conversation(spark):
+    """Its calls are numbered over several ranges, of which none holds all."""
+    rows = [(1, i // 2, "call", f"c{i:05}", "t", "{}", None, None, 0) for i in range(6000)] + [(2, 0, "call", "a", "t", "{}", None, None, 0)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    found = {(r.conv_id, r.call_id): r.place for r in tc.ordered(frame, Scratch(spark, "test")).collect()}
+    assert found == {(1, f"c{i:05}"): i + 1 for i in range(6000)} | {(2, "a"): 1}
+
+
 def test_links(spark):
     call = lambda conv, turn, i, after=(), tool="answer", args='{"words":1}': (conv, turn, "call", i, tool, args, list(after), None, 0)
     result = lambda conv, turn, i, text: (conv, turn, "result", i, None, None, None, text, 0)
