@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +34,30 @@ class StoredSnapshot:
     data: DataFrame
 
 
+class ParquetRows:
+    """How a snapshot's rows are stored. Another form has these two methods, and must give back the rows
+    that it got."""
+
+    def write(self, rows: DataFrame, path: str) -> None:
+        rows.write.parquet(path)
+
+    def read(self, spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+        return spark.read.schema(schema).parquet(path)
+
+
+class JsonRows:
+    """Rows as lines of canonical JSON."""
+
+    def write(self, rows: DataFrame, path: str) -> None:
+        to_json_rows(rows).write.option("compression", "gzip").format("text").save(f"{path}/lines.json")
+
+    def read(self, spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+        return from_json_rows(spark.read.text(f"{path}/lines.json"), schema)
+
+
 class SnapshotStore:
-    def __init__(self, root: str, keep: int = 2):
-        self.root, self.keep = root.rstrip("/"), keep
+    def __init__(self, root: str, keep: int = 2, codec=None):
+        self.root, self.keep, self.codec = root.rstrip("/"), keep, codec or ParquetRows()
 
     def folder(self, catalog: str) -> str:
         """Names can't lead out of the root."""
@@ -49,7 +70,7 @@ class SnapshotStore:
         folder, fs = self.folder(snapshot.catalog), _Files(spark)
         hashed = snapshot.hash or content_hash(snapshot.data, snapshot.order_by)
         name = f"{max([0, *map(_number, self._manifests(fs, folder))]) + 1:012d}-{time.time_ns():x}"
-        snapshot.data.write.parquet(f"{folder}/v-{name}")
+        self.codec.write(snapshot.data, f"{folder}/v-{name}")
         manifest = {
             "catalog": snapshot.catalog, "hash": hashed, "version": snapshot.version, "created_at": snapshot.created_at.isoformat(),
             "schema": snapshot.data.schema.jsonValue(), "order_by": list(snapshot.order_by), "rows": f"v-{name}",
@@ -76,7 +97,7 @@ class SnapshotStore:
             raise SnapshotCorrupt(f"manifest {names[-1]} of {catalog} can't be read") from e
         if not fs.exists(rows):
             return None
-        data = spark.read.schema(schema).parquet(rows)
+        data = self.codec.read(spark, rows, schema)
         return StoredSnapshot(catalog, hashed, version, created, data) if content_hash(data, order) == hashed else None
 
     @staticmethod
@@ -131,14 +152,24 @@ class _Files:
 
 
 def to_json_rows(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Each row as canonical JSON: fields in order of name, map keys in order, times in ISO form."""
-    ordered = rows
-    for f in rows.schema.fields:
-        if isinstance(f.dataType, T.MapType):
-            ordered = ordered.withColumn(f.name, F.map_from_entries(F.array_sort(F.map_entries(f.name))))
+    """Each row as canonical JSON: fields in order of name and map keys in order, at any depth; times in
+    ISO form."""
+    ordered = rows.select(*(_in_order(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields))
     return ordered.select(row_text(list(columns or rows.columns)).alias("value"))
 
 
+def _in_order(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _in_order(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _in_order(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = (_in_order(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def from_json_rows(lines: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows of JSON texts in a column `value`; a text that isn't an object of the schema is an error."""
     options = {"mode": "FAILFAST", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}

@@ -45,6 +45,7 @@ class Engine:
     def __init__(
         self, spark: SparkSession, store: SnapshotStore | None = None, sync=None, leader=None, retry: RetryPolicy = RetryPolicy(),
         metrics: Metrics | None = None, node_id: str | None = None, sleep: Callable[[float], None] = time.sleep,
+        gauges_every: timedelta | None = None,
     ):
         self.spark, self.store, self.sync, self.leader, self.retry = spark, store, sync, leader or SingleNode(), retry
         self.metrics, self._sleep = Quiet(metrics or Metrics()), sleep
@@ -55,6 +56,7 @@ class Engine:
         self._dispatcher = Dispatcher(self._on_dispatch)
         self._timers: list[threading.Timer] = []
         self._lock = threading.RLock()
+        self.gauges_every, self._ended = gauges_every, threading.Event()
 
     def register(self, catalog: Catalog) -> Engine:
         if self._started:
@@ -78,13 +80,30 @@ class Engine:
         for catalog in self.catalogs.values():
             if catalog.refresh_every is not None:
                 self._schedule(catalog)
+        if self.gauges_every is not None:
+            threading.Thread(target=self._gauges, name="gauges", daemon=True).start()
         return self
 
+    def _gauges(self) -> None:
+        """Reports what every catalog serves, as long as the engine runs; one that can't be read doesn't
+        keep the others from being reported."""
+        while not self._ended.wait(self.gauges_every.total_seconds()):
+            for name, catalog in self.catalogs.items():
+                snapshot = catalog.snapshot
+                self.metrics.gauge("available", int(snapshot is not None and name not in self.failed), catalog=name)
+                if snapshot is not None:
+                    try:
+                        self.metrics.gauge("version", snapshot.version, catalog=name)
+                        self.metrics.gauge("item_count", snapshot.data.count(), catalog=name)
+                    except Exception:
+                        log.warning("catalog %s wasn't measured", name, exc_info=True)
+
     def stop(self) -> None:
         """Ends refreshes; queries go on over the last snapshots. May be called again."""
         if not self._running:
             return
         self._running = False
+        self._ended.set()
         for timer in self._timers:
             timer.cancel()
         if self.sync is not None:

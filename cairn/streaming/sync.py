@@ -245,11 +245,12 @@ class HttpSync:
 
         class Handler(BaseHTTPRequestHandler):
             def do_POST(self):
-                size = int(self.headers.get("Content-Length") or 0)
-                if size > most:
-                    return self.answer(413)
                 try:
-                    event = RefreshEvent.from_json(self.rfile.read(size).decode())
+                    body = self.body()
+                    if body is None:
+                        self.close_connection = True
+                        return self.answer(413)
+                    event = RefreshEvent.from_json(body.decode())
                 except ValueError:
                     if malformed:
                         malformed(1)
@@ -257,10 +258,25 @@ class HttpSync:
                 try:
                     listener(event)
                 except Exception:
+                    # the event arrived, whatever became of it here
                     log.warning("an event wasn't taken", exc_info=True)
-                    return self.answer(500)
                 return self.answer(200)
 
+            def body(self) -> bytes | None:
+                """The body, whole or in chunks; None if it is too long."""
+                if "chunked" not in self.headers.get("Transfer-Encoding", "").lower():
+                    size = int(self.headers.get("Content-Length") or 0)
+                    return self.rfile.read(size) if size <= most else None
+                found = b""
+                while size := int(self.rfile.readline(1024).split(b";")[0], 16):
+                    if len(found) + size > most:
+                        return None
+                    found += self.rfile.read(size)
+                    self.rfile.readline(1024)
+                while self.rfile.readline(1024).strip():
+                    pass
+                return found
+
             def do_GET(self):
                 self.answer(405)
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from cairn.errors import CatalogError, CatalogNotAvailable, SnapshotCorrupt
 from cairn.operators import Catalog, EqualityIndex
-from cairn.sources import SnapshotStore, from_json_rows, loaders, to_json_rows
+from cairn.sources import JsonRows, SnapshotStore, from_json_rows, loaders, to_json_rows
 from cairn.streaming import EVENT, REQUEST, Counters, Engine, FileLease, FileSync, HttpSync, KafkaSync, RefreshEvent, RetryPolicy, TableSync, latest_per_catalog, parse_events
 from cairn.streaming.engine import Dispatcher
 from cairn.streaming.metrics import Statsd
@@ -197,7 +197,13 @@ def test_http_sync():
         connection.request(method, "/refresh", body)
         return connection.getresponse().status
 
-    assert [status("GET", None), status("POST", "x"), status("POST", event("odd").to_json())] == [405, 500, 500] and bad == [1]
+    assert [status("GET", None), status("POST", "x"), status("POST", event("odd").to_json())] == [405, 500, 200] and bad == [1]
+    connection = http.client.HTTPConnection("127.0.0.1", two.port, timeout=5)
+    connection.request("POST", "/refresh", iter([event("chunks").to_json().encode()[:20], event("chunks").to_json().encode()[20:]]), encode_chunked=True, headers={"Transfer-Encoding": "chunked"})
+    assert connection.getresponse().status == 200 and got[-1] == event("chunks")
+    connection = http.client.HTTPConnection("127.0.0.1", two.port, timeout=5)
+    connection.request("POST", "/refresh", iter([b"x" * HttpSync.MOST, b"x"]), encode_chunked=True, headers={"Transfer-Encoding": "chunked"})
+    assert connection.getresponse().status == 413
     connection = http.client.HTTPConnection("127.0.0.1", two.port, timeout=5)
     connection.putrequest("POST", "/refresh")
     connection.putheader("Content-Length", str(HttpSync.MOST + 1))
@@ -475,3 +481,35 @@ def test_restored_rows_are_hashed_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("cairn.operators.catalog.content_hash", lambda *a: 1 / 0)
     again = catalog(Source("never"))
     assert again.refresh(spark, found.data, found.hash).hash == first.hash and again.snapshot.data.count() == 2
+
+
+def test_snapshots_as_json(spark, tmp_path):
+    """Another form of a snapshot's files; the store itself doesn't know what it is."""
+    store = SnapshotStore(f"file://{tmp_path}", codec=JsonRows())
+    rows = spark.createDataFrame([(0, "a"), (1, None)], "id int, name string")
+    plain = Catalog("d", data=rows, indices=INDEX, order_by=["id"]).bootstrap(spark)
+    store.save(spark, plain)
+    assert list(tmp_path.glob("d/v-*/*.json*")) and not list(tmp_path.glob("d/v-*/*.parquet"))
+    found = store.load(spark, "d")
+    assert found.hash == plain.hash and sorted(map(tuple, found.data.collect())) == [(0, "a"), (1, None)]
+
+
+def test_maps_in_order_at_any_depth(spark):
+    schema = "b struct<z:map<string,int>,a:array<map<string,int>>>, m map<string,map<string,int>>"
+    rows = spark.createDataFrame([(({"y": 1, "x": 2}, [{"d": 1, "c": 2}, None]), {"k": {"b": 1, "a": 2}, "j": None}), (None, None), ((None, None), {})], schema)
+    lines = [r.value for r in to_json_rows(rows).collect()]
+    assert lines[0] == '{"b":{"a":[{"c":2,"d":1},null],"z":{"x":2,"y":1}},"m":{"j":null,"k":{"a":2,"b":1}}}' and lines[1:] == ["{}", '{"b":{},"m":{}}']
+
+
+def test_gauges_are_polled(spark):
+    metrics = Counters()
+    broken = Source("x")
+    broken.fail = 99
+    engine = Engine(spark, retry=FAST, metrics=metrics, node_id="n", gauges_every=dt.timedelta(milliseconds=200))
+    engine.register(catalog(Source("a", "b"))).register(catalog(broken, "x")).start()
+    deadline = time.monotonic() + 60
+    while ("item_count", ("catalog", "c")) not in metrics.gauges and time.monotonic() < deadline:
+        time.sleep(0.1)
+    engine.stop()
+    assert metrics.gauges["item_count", ("catalog", "c")] == 2 and metrics.gauges["version", ("catalog", "c")] == 1
+    assert metrics.gauges["available", ("catalog", "c")] == 1 and metrics.gauges["available", ("catalog", "x")] == 0
