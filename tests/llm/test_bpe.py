@@ -45,3 +45,18 @@ def test_frame(spark):
     assert {(r.doc_id, tuple(r.ids)) for r in found.collect()} == {(1, tuple(ORACLE.encode("Hello there"))), (2, ()), (None, tuple(ORACLE.encode("again again")))}
     assert sorted(bytes(r.bytes) for r in bpe.decode(found, PATH, P.PATTERN).collect()) == [b"", b"", b"Hello there", b"again again"]
     assert bpe.digests(rows.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_both_ways_of_merging_agree():
+    """Pieces of 200 to 1,000 bytes, by rounds over matrices and by a heap."""
+    import random
+
+    rnd = random.Random(2)
+    common = [t for t in list(RANKS)[300:5000] if t.isalpha()]
+    pieces = []
+    for n in range(200, 1001, 50):
+        pieces += [b"a" * n, bytes(rnd.randrange(256) for _ in range(n)), b"".join(rnd.choices(common, k=n))[:n], (b"ab" * n)[:n]]
+    for piece in pieces:
+        tokens = ENCODER.byte[np.frombuffer(piece, np.uint8)][None, :]
+        [(_, found)] = ENCODER._merged(tokens)
+        assert [t for t in found[0].tolist() if t >= 0] == ENCODER._long(piece).tolist()
