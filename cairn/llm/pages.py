@@ -263,7 +263,7 @@ def _hashed(text) -> tuple[np.ndarray, np.ndarray]:
     found, ends, base = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
     for i, j in slices(at):
         _, _, hashes, begin = words(data, at[i : j + 1])
-        found.append((hashes >> U(32)).astype(np.uint32))
+        found.append((hashes >> U(40)).astype(np.uint32))
         ends.append(begin[1:] + base)
         base += len(hashes)
     return np.concatenate(found), np.concatenate(ends)
@@ -271,21 +271,22 @@ def _hashed(text) -> tuple[np.ndarray, np.ndarray]:
 
 def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
     data, at = utf8(column)
-    return np.frombuffer(data[at[0] : at[-1]].tobytes(), np.uint32), (at - at[0]) // 4
+    three = data[at[0] : at[-1]].reshape(-1, 3).astype(np.uint32)
+    return three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16, (at - at[0]) // 3
 
 
 def _with_tokens(batches):
     """Rows with the tokens of their text instead of it."""
     for batch in batches:
         tokens, ends = _hashed(batch.column("text"))
-        data, at = tokens.tobytes(), (4 * ends).tolist()
+        data, at = tokens.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), (3 * ends).tolist()
         names = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([data[a:b] for a, b in zip(at, at[1:])], pa.binary())], [*names, "tokens"])
 
 
 class _Streams:
     """The different streams of a table (key, kind, group and text or tokens) as one text of tokens, with
-    the stretches that repeat. A token is 32 bits of its word's hash, and a stretch has RUN of them. Each
+    the stretches that repeat. A token is 24 bits of its word's hash, and a stretch has RUN of them. Each
     stream ends with a token that no other has, so nothing reaches beyond its end."""
 
     def __init__(self, table: pa.Table, run: int):
@@ -469,7 +470,7 @@ def cleaned(streams: DataFrame, scratch: Scratch, run: int = RUN, chunk: int = C
     as_is = lambda rows: rows.where(F.col("kind") != BESIDE).select("page_id", "url", plain.alias("text"))
     if not array or not n_hosts:
         return as_is(dealt)
-    # tokens are half of what texts are; texts are shuffled for hosts with something to cover only
+    # tokens are less than half of what texts are; texts are shuffled for hosts with something to cover only
     columns, kinds = ["host", "chunk", "salts", "key", "kind", "group"], "host string, chunk int, salts int, key bigint, kind int, group bigint, tokens binary"
     tokens = lambda rows: rows.select(*columns, "text").mapInArrow(_with_tokens, kinds)
     known = tokens(dealt.where("chunks = 1")).groupBy("host").applyInArrow(_known(run), "host string, stretch bigint, site boolean")
