@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,17 +110,23 @@ class Snapshot:
 def build_postings(data: DataFrame, index: EqualityIndex | GraphIndex) -> DataFrame:
     """The rows once for each key of a multi or graph index, sorted by key, so that a scan reads a key's
     rows only. To be written. Keys of a graph index are texts, with the fields that they are of."""
-    keys = index.keys()
+    rows = data.withColumn(ROW, F.monotonically_increasing_id())
     if isinstance(index, GraphIndex):
         paths = sorted({tuple(h[:n]) for h in index.hotpaths for n in range(1, len(h) + 1)})
-        keys = F.concat(*(_exact(index, fields) for fields in paths))
-    rows = data.withColumn(ROW, F.monotonically_increasing_id()).withColumn(POSTING, F.explode(keys))
-    return rows.repartitionByRange(POSTING).sortWithinPartitions(POSTING)
-
-
-def _exact(index: GraphIndex, fields: Sequence[str]) -> Column:
-    whole = F.filter(index.keys(fields), lambda key: F.size(key) == len(fields))
-    return F.transform(whole, lambda key: graph_posting(fields, key))
+        keyed = reduce(DataFrame.union, (_along(rows, index, fields) for fields in paths))
+    else:
+        keyed = rows.withColumn(POSTING, F.explode(index.keys()))
+    return keyed.repartitionByRange(POSTING).sortWithinPartitions(POSTING)
+
+
+def _along(rows: DataFrame, index: GraphIndex, fields: Sequence[str]) -> DataFrame:
+    """The rows once for each choice of values of the fields, whose values are distinct."""
+    names = [f"{POSTING}{n}" for n in range(len(fields))]
+    keyed = rows
+    for name, field_ in zip(names, fields):
+        keyed = keyed.withColumn(name, F.explode(index.traversal(field_).values))
+    parts = F.array(*(F.col(name).cast("string") for name in names))
+    return keyed.withColumn(POSTING, graph_posting(fields, parts)).drop(*names)
 
 
 def graph_posting(fields: Sequence[str], parts: Column) -> Column:
